@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import canonical, leaks, neardup, oversize, tokenize
-from scriptorium.sources.tables import read_table, spread
+from scriptorium.llm import canonical, canonlist, garbled, leaks, neardup, oversize, tokenize
+from scriptorium.sources.tables import read_table
 
 #: Fixed values of TESTDATA.md.
 P1_SHINGLE, P1_SIMILARITY, P1_WORDS = 3, 0.6, 20
@@ -84,14 +84,34 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("id").alias("item_id"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of every typed dataset, metric and method, -1 where it denotes none."""
+    return canonlist.map_to_terms(
+        read_table(spark, sf_dir, "result_claims"), "claim_id", ["dataset", "metric", "method"], read_table(spark, sf_dir, "canon_terms")
+    )
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with garbled spans."""
+    return garbled.find_garbled(read_table(spark, sf_dir, "documents"), "doc_id").select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their original text, null where something was lost."""
+    return garbled.find_garbled(read_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "original").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 ORACLE: dict[str, str] = {}
