@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +17,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests, local runs) set one."""
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this session under the cluster's spark.checkpoint.dir; only where that is unset a folder is made."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="scriptorium-")
-    sc.setCheckpointDir(shared)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="scriptorium-")
+        sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, its lineage cut there; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written as a table to the shared folder and read back: its lineage ends there, lost executors lose nothing.
+
+    Columnar and compressed, so later stages read only the columns they need. The files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/scriptorium-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
