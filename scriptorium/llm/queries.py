@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import canonical, canonlist, garbled, leaks, neardup, oversize, tokenize
+from scriptorium.llm import canonical, canonlist, garbled, leaks, names, neardup, oversize, tokenize
 from scriptorium.sources.tables import read_table
 
 #: Fixed values of TESTDATA.md.
@@ -91,6 +91,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one person or one organisation."""
+    authors = read_table(spark, sf_dir, "papers").select(F.lit("Author").alias("type"), F.explode("authors").alias("s"))
+    entities = read_table(spark, sf_dir, "entities").filter(F.col("type").isin("Author", "Institution"))
+    typed = entities.select("type", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("s"))
+    strings = authors.unionByName(typed).filter("s is not null").groupBy("type", "s").agg(F.count(F.lit(1)).alias("n"))
+    people = names.link_persons(strings.filter("type = 'Author'").select("s", "n"))
+    places = names.link_organisations(strings.filter("type = 'Institution'").select("s", "n"))
+    return names.spelling_pairs(people).unionByName(names.spelling_pairs(places)).distinct()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with garbled spans."""
     return garbled.find_garbled(read_table(spark, sf_dir, "documents"), "doc_id").select("doc_id").distinct()
@@ -104,6 +115,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
     "p6_found": p6_found,
