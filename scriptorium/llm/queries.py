@@ -126,4 +126,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_restored": p9_restored,
 }
 
-ORACLE: dict[str, str] = {}
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+ORACLE: dict[str, str] = {
+    "p1_found": f"""WITH t AS (SELECT DISTINCT chunk_id, {_TOKENS} AS w FROM chunks WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM t WHERE len(w) >= 20),
+n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT chunk_id_a, chunk_id_b FROM c JOIN n x ON x.chunk_id = chunk_id_a JOIN n y ON y.chunk_id = chunk_id_b WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+    "p6_found": r"""SELECT DISTINCT 'chunks' AS tbl, chunk_id AS item_key FROM chunks
+WHERE floor(1.3::DOUBLE * len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> ''))) > 240
+UNION SELECT DISTINCT 'windows', window_id FROM windows
+WHERE floor(1.3::DOUBLE * len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> ''))) > 1200""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT id, {_TOKENS} AS w FROM (SELECT id, question AS text FROM gold UNION ALL SELECT id, reference FROM gold) WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS s FROM d WHERE len(w) >= 12),
+y AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS s FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, id AS item_id FROM x JOIN y USING (s)""",
+}
