@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
     links = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    digest = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1))))
+    seen = links.agg(digest).first()
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -25,11 +27,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(down, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         fresh = durable(small.distinct())
-        # Done once every node hangs on its component's least node alone: no node is both above and below.
-        same = fresh.count() == links.count() and fresh.exceptAll(links).isEmpty()
-        links = fresh
-        if same:
+        # Done once a round changes nothing: every node then hangs on its component's least node alone.
+        links = durable(small.distinct())
+        said = links.agg(digest).first()
+        if said == seen:
             break
+        seen = said
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
