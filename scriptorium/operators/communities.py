@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +13,70 @@ from scriptorium.operators.components import connected_components
 from scriptorium.sources.tables import durable
 
 LEAST_MEMBERS, MOST_ROUNDS, MOST_LEVELS = 3, 60, 10
+#: Edges up to which (counted) a graph is moved in one task; larger ones run in distributed rounds.
+ONE_TASK_EDGES = 100_000
+
+
+def _sequential(edges: list[tuple[str, str, float]], resolution: float) -> dict[str, str]:
+    """Node -> community of a small graph: moves in node order, levels, and disconnected communities split."""
+    place = {n: n for a, b, _ in edges for n in (a, b)}
+    level: dict[str, dict[str, float]] = {n: {} for n in place}
+    for a, b, w in edges:
+        level[a][b] = level[a].get(b, 0.0) + w
+        if a != b:
+            level[b][a] = level[b].get(a, 0.0) + w
+    total = sum(w * (2 if n == o else 1) for n, near in level.items() for o, w in near.items())
+    while True:
+        degree = {n: sum(w * (2 if n == o else 1) for o, w in near.items()) for n, near in level.items()}
+        own, tot, moved = {n: n for n in level}, dict(degree), True
+        changed = False
+        while moved:
+            moved = False
+            for node in sorted(level):
+                links: dict[str, float] = {}
+                for other, w in level[node].items():
+                    if other != node:
+                        links[own[other]] = links.get(own[other], 0.0) + w
+                home, k = own[node], degree[node]
+                tot[home] -= k
+                worth = lambda c: links.get(c, 0.0) - resolution * k * tot[c] / total  # noqa: B023, E731
+                best = max(sorted(links), key=worth, default=home)
+                if best != home and worth(best) > worth(home) + 1e-12:
+                    own[node], moved, changed = best, True, True
+                tot[own[node]] += k
+        if not changed:
+            return place
+        root: dict[str, str] = {}
+        for node in sorted(level):  # components within each community
+            if node in root:
+                continue
+            stack = [node]
+            while stack:
+                x = stack.pop()
+                if x not in root:
+                    root[x] = node
+                    stack += [y for y in level[x] if own[y] == own[node] and y not in root]
+        place = {n: root[c] for n, c in place.items()}
+        fresh: dict[str, dict[str, float]] = {r: {} for r in root.values()}
+        for a, near in level.items():
+            for b, w in near.items():
+                if a <= b:
+                    x, y = sorted((root[a], root[b]))
+                    fresh[x][y] = fresh[x].get(y, 0.0) + w
+                    if x != y:
+                        fresh[y][x] = fresh[x][y]
+        level = fresh
+
+
+def _in_one_task(weights: DataFrame, resolution: float) -> DataFrame:
+    kind = weights.schema["a"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = [e for frame in frames for e in zip(frame["a"], frame["b"], frame["weight"].astype(float))]
+        if edges:
+            yield pd.DataFrame(_sequential(edges, resolution).items(), columns=["node", "community"])
+
+    return weights.select("a", "b", "weight").coalesce(1).mapInPandas(run, f"node {kind}, community {kind}")
 
 
 def _local_moves(weights: DataFrame, resolution: float) -> tuple[DataFrame, int]:
@@ -53,14 +120,7 @@ def _local_moves(weights: DataFrame, resolution: float) -> tuple[DataFrame, int]
     return place, moved
 
 
-def detect_communities(weights: DataFrame, resolution: float = 1.0, least_members: int = LEAST_MEMBERS) -> DataFrame:
-    """(node, community, size) of undirected weights (a, b, weight); communities of fewer members are left out.
-
-    Louvain levels with disjoint moves; communities that a level leaves disconnected are split into their components
-    before they are aggregated. Deterministic: ties go by node. A community is named by its least member.
-    """
-    clean = weights.filter("a is not null and b is not null and a <> b and weight > 0")
-    start = durable(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+def _in_rounds(start: DataFrame, resolution: float) -> DataFrame:
     membership = start.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node"))
     level = start
     for _ in range(MOST_LEVELS):
@@ -74,6 +134,21 @@ def detect_communities(weights: DataFrame, resolution: float = 1.0, least_member
         membership = durable(membership.join(place.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")))
         ends = level.join(place.select(F.col("node").alias("a"), F.col("community").alias("x")), "a").join(place.select(F.col("node").alias("b"), F.col("community").alias("y")), "b")
         level = durable(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight")))
+    return membership
+
+
+def detect_communities(
+    weights: DataFrame, resolution: float = 1.0, least_members: int = LEAST_MEMBERS, one_task_edges: int = ONE_TASK_EDGES
+) -> DataFrame:
+    """(node, community, size) of undirected weights (a, b, weight); communities of fewer members are left out.
+
+    Louvain levels; communities that a level leaves disconnected are split into their components before they are
+    aggregated. Graphs of at most `one_task_edges` edges are moved in one task, larger ones in rounds of disjoint moves
+    that each raise the modularity. Deterministic: ties go by node. A community is named by its least member.
+    """
+    clean = weights.filter("a is not null and b is not null and a <> b and weight > 0")
+    start = durable(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    membership = _in_one_task(start, resolution) if start.count() <= one_task_edges else _in_rounds(start, resolution)
     w = Window.partitionBy("community")
     named = membership.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("name", F.min("node").over(w))
     return named.filter(F.col("size") >= least_members).select("node", F.col("name").alias("community"), "size")

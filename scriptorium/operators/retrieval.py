@@ -37,8 +37,8 @@ def bm25_search(queries: DataFrame, query_key: str, query_text: str, docs: DataF
     """
     index = postings(docs, key, text)
     stats = term_statistics(index, docs)
-    lengths = index.select(key, "length").distinct()
-    mean = lengths.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))).agg((F.sum("length") / F.max("n")).alias("avgdl"))
+    size = F.coalesce(F.size(lexical_tokens(F.col(text))), F.lit(0))
+    mean = docs.select(F.greatest(size, F.lit(0)).alias("size")).agg((F.sum("size") / F.count(F.lit(1))).alias("avgdl"))
     asked = queries.select(query_key, F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
     hits = index.join(broadcast_if_small(asked), "term").join(stats, "term").crossJoin(F.broadcast(mean))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))

@@ -54,9 +54,10 @@ def test_components(spark):
 CLUSTER = [("1", "2"), ("2", "3"), ("3", "1"), ("1", "4"), ("4", "2")]
 
 
-def test_two_clusters(spark):
+@pytest.mark.parametrize("one_task_edges", [100_000, 0])
+def test_two_clusters(spark, one_task_edges):
     edges = [(c + a, c + b, 1.0) for c in "ab" for a, b in CLUSTER] + [("a1", "b1", 1.0), ("a1", "a1", 1.0)]
-    found = communities.detect_communities(spark.createDataFrame(edges, "a string, b string, weight double"))
+    found = communities.detect_communities(spark.createDataFrame(edges, "a string, b string, weight double"), one_task_edges=one_task_edges)
     groups: dict = {}
     for r in found.collect():
         groups.setdefault(r.community, set()).add(r.node)
