@@ -97,7 +97,7 @@ class Trie:
             node, last, row, before, depth = stack.pop()
             for char, child in node.items():
                 if char == "":
-                    if row[size] <= bound(depth):
+                    if row[size] <= min(most, bound(depth)):
                         found += [(row[size], rank, entry) for rank, entry in child]
                     continue
                 step = [row[0] + 1]
@@ -163,10 +163,15 @@ class Matcher:
         for form in forms:
             if hits := self._same_numbers(form, [(0, *h) for h in self.trie.exact(form)]):
                 return min(hits)[2]
-        best: list[tuple[int, int, int]] = []
-        for form in forms:
-            best += self._same_numbers(form, [h for h in self.trie.search(form, bound(len(form) + 2)) if h[1] < 4])
-        return min(best)[2] if best else -1
+        # One edit more at a time: most misspellings have one, and the nearest spelling is wanted.
+        for most in range(1, bound(99) + 1):
+            best: list[tuple[int, int, int]] = []
+            for form in forms:
+                if most <= bound(len(form) + 2):
+                    best += self._same_numbers(form, [h for h in self.trie.search(form, most) if h[1] < 4])
+            if best:
+                return min(best)[2]
+        return -1
 
     def _same_numbers(self, form: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         numbers = _NUMBERS.findall(form)
