@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,10 @@ def _class(char: str) -> str:
     return f"{category[0]}{block}"
 
 
+_KINDS = ["a", "A", "0", " ", "."]
+_ASCII_KIND = np.array([_KINDS.index(_class(chr(i))) for i in range(128)], dtype=np.int64)
+
+
 @lru_cache(maxsize=None)
 def _bytes(read_in: str) -> dict[str, int]:
     """Character -> byte of a single-byte encoding; undefined bytes of Windows encodings read as C1 controls."""
@@ -128,7 +133,8 @@ def count_clean(texts: list[str | None]) -> Counter:
             before = text[i - 1] if i else " "
             if i - 1 not in masked:
                 out["t", _class(before), _class(m[0])] += 1
-        for kind, n in Counter(map(_class, filter(str.isascii, text))).items():
+        ascii_kinds = np.bincount(_ASCII_KIND[np.frombuffer(text.encode("ascii", "ignore"), dtype=np.uint8)], minlength=len(_KINDS))
+        for kind, n in zip(_KINDS, ascii_kinds.tolist()):
             out["n", kind, ""] += n
     return out
 
@@ -150,6 +156,8 @@ class Model:
                 self.before[a] += n
         self.total = sum(self.before.values()) + 1
         self.memo: dict[tuple[str, str], float] = {}
+        self.pairs: dict[str, float] = {}
+        self.gains: list[dict[str, float]] = [{} for _ in PAIRS]
 
     def emit(self, before: str, char: str) -> float:
         """Log probability of a non-ASCII character after another one in clean text."""
@@ -165,33 +173,65 @@ class Model:
             self.memo[key] = found
         return found
 
+    def clean(self, two: str) -> float:
+        """Clean emission of the second of two neighbouring characters."""
+        found = self.pairs.get(two)
+        if found is None:
+            found = self.pairs[two] = math.log(1e-12) if two[1] == LOST else self.emit(two[0], two[1])
+        return found
+
+    def single(self, number: int, two: str) -> float:
+        """Emission of the second of two neighbouring characters in the state of a pair of single-byte encodings."""
+        found = self.gains[number].get(two)
+        if found is None:
+            originals = _singles(PAIRS[number])
+            char = originals.get(two[1])
+            found = _IMPOSSIBLE if char is None else self.emit(originals.get(two[0], two[0]), char)
+            self.gains[number][two] = found
+        return found
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, pair) of the garbled spans by Viterbi's path; pair len(PAIRS) is a loss."""
+        """(start, end, pair) of the garbled spans by Viterbi's path; pair len(PAIRS) is a loss.
+
+        A state whose best stretch gains less over the clean state than entering costs is on no best path and is left out.
+        """
         at = [m.start() for m in _NON_ASCII.finditer(text)]
         if not at:
             return []
-        place = {i: k for k, i in enumerate(at)}
-        states, original = [], []
+        twos = [text[i - 1 : i + 1] if i else " " + text[0] for i in at]
+        clean = [self.clean(two) for two in twos]
+        place: dict[int, int] = {}
+        states = []
         for number, pair in enumerate(PAIRS):
-            emission, says = [_IMPOSSIBLE] * len(at), {}
-            last_end, last_char = -1, ""
-            for a, b, char in units(text, pair):
-                before = last_char if a == last_end else text[a - 1] if a else " "
-                if ord(char) < 128:
+            if pair[0] != "utf_8":
+                emission = [self.single(number, two) for two in twos]
+            else:
+                if _unit_pattern(pair[1]).search(text) is None:
                     continue
-                value = self.emit(before, char) / (b - a)
-                for i in range(a, b):
-                    emission[place[i]] = value
-                says[a] = (b, char)
-                last_end, last_char = b, char
-            if says:
+                place = place or {i: k for k, i in enumerate(at)}
+                emission = [_IMPOSSIBLE] * len(at)
+                last_end, last_char = -1, ""
+                for a, b, char in units(text, pair):
+                    if ord(char) < 128:
+                        continue
+                    before = last_char if a == last_end else text[a - 1] if a else " "
+                    value = self.emit(before, char) / (b - a)
+                    for i in range(a, b):
+                        emission[place[i]] = value
+                    last_end, last_char = b, char
+            best = run = 0.0
+            for e, c in zip(emission, clean):
+                run += e - c
+                if run < 0:
+                    run = 0.0
+                elif run > best:
+                    best = run
+            if best + ENTER > 0:
                 states.append((number, emission))
-                original.append(says)
         if LOST in text:
             states.append((len(PAIRS), [math.log(0.5) if text[i] == LOST else _IMPOSSIBLE for i in at]))
         if not states:
             return []
-        clean = [math.log(1e-12) if text[i] == LOST else self.emit(text[i - 1] if i else " ", text[i]) for i in at]
         scores, came = [0.0] + [ENTER] * len(states), []
         for k in range(len(at)):
             base, best_from, best = scores[0] + STAY_CLEAN, 0, scores[0] + STAY_CLEAN
