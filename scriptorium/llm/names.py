@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
 
 from scriptorium.llm.canonical import canonical
 from scriptorium.operators.components import connected_components
@@ -181,27 +180,38 @@ def _blocks(own: Column, other: Column) -> Column:
     )
 
 
-def _compare(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of forms whose fields agree."""
-
+def _ratio():
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([lcs_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
 
-    measure = F.pandas_udf(ratio, DoubleType())
+    return F.pandas_udf(ratio, DoubleType())
+
+
+def _compare(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of forms whose fields agree."""
+    measure = _ratio()
     return pairs.filter((measure("x1", "y1") >= RATIO_NAME) & (measure("x2", "y2") >= RATIO_SECOND)).select("a", "b")
 
 
 def link_forms(forms: DataFrame) -> DataFrame:
     """Distinct links (a, b) of `forms` (form, x1, x2) by suffix blocking; x1 and x2 are the fields to compare.
 
+    The first letter of a form is its kind; forms of different kinds never meet.
+
     A key is a suffix of one field. Keys that more than COMMON forms share are refined by the other field's first letters
     and, where still common, by the field's own; nothing is discarded.
     """
     keys = forms.select("form", "x1", "x2", F.inline(F.concat(_blocks(F.col("x1"), F.col("x2")), _blocks(F.col("x2"), F.col("x1")))))
-    at = keys.withColumn("n1", F.count(F.lit(1)).over(Window.partitionBy("suffix")))
-    level = F.when(F.col("n1") <= COMMON, F.col("suffix")).otherwise(F.concat_ws("|", "suffix", "second"))
-    at = at.withColumn("key", level).withColumn("n2", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    final = F.when((F.col("n1") > COMMON) & (F.col("n2") > COMMON), F.concat_ws("|", "key", "third")).otherwise(F.col("key"))
+    keys = keys.withColumn("suffix", F.concat(F.left("form", F.lit(1)), "suffix"))
+
+    def common(rows: DataFrame, key: str, mark: str) -> DataFrame:
+        often = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > COMMON)
+        return rows.join(often.select(key, F.lit(True).alias(mark)), key, "left")
+
+    at = common(keys, "suffix", "hot")
+    at = at.withColumn("key", F.when(F.col("hot"), F.concat_ws("|", "suffix", "second")).otherwise(F.col("suffix")))
+    at = common(at, "key", "still")
+    final = F.when(F.col("hot") & F.col("still"), F.concat_ws("|", "key", "third")).otherwise(F.col("key"))
     at = durable(at.select("form", "x1", "x2", final.alias("key")).distinct())
     left = at.select("key", F.col("form").alias("a"), "x1", "x2")
     right = at.select("key", F.col("form").alias("b"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
@@ -278,48 +288,79 @@ def _close(forms: DataFrame, links: DataFrame) -> DataFrame:
     return forms.join(nodes, forms.form == nodes.node, "left").select("form", F.coalesce("component", "form").alias("entity"))
 
 
-def link_persons(strings: DataFrame) -> DataFrame:
-    """(s, entity) of strings (s, n) of persons, n being how often the string stands."""
-    read = durable(person_forms(strings).join(strings, "s").withColumn("form", F.concat_ws(" ", "surname", "given")))
-    forms = read.groupBy("form", "surname", "given").agg(F.sum("n").alias("n"))
-    full = durable(forms.filter(~F.col("given").endswith(".")))
-    entities = durable(_close(full, link_forms(full.select("form", F.col("surname").alias("x1"), F.col("given").alias("x2")))))
-    # Initials and cut forms: the surname links by suffixes as well, the given name has to begin with what is left of it.
-    short = forms.filter(F.col("given").endswith("."))
-    weight = full.join(entities, "form").withColumn("weight", F.sum("n").over(Window.partitionBy("entity")))
-    stem = F.expr("left(given, length(given) - 1)")
-    cut = short.select("form", "surname", stem.alias("stem"))
-    ends = lambda df: df.withColumn("block", F.explode(F.array_distinct(F.array(F.right("surname", F.lit(MIN_SUFFIX)), F.concat(F.lit("^"), F.left("surname", F.lit(MIN_SUFFIX)))))))
-    left = ends(cut.withColumn("initial", F.substring("stem", 1, 1)))
-    right = ends(
-        weight.select(F.col("surname"), "given", "entity", "weight", F.substring("given", 1, 1).alias("initial")).distinct()
-    ).withColumnRenamed("surname", "full_surname")
-    fits = left.join(right, ["block", "initial"]).filter(F.expr("startswith(given, stem)"))
+def link_names(people: DataFrame | None, organisations: DataFrame | None) -> DataFrame:
+    """(s, entity) of strings (s, n) of persons and of organisations, n being how often the string stands.
+
+    Both kinds are linked and closed in one pass; either may be None.
+    """
+    read, full, short = [], [], []
+    if people is not None:
+        form = F.concat_ws(" ", F.lit("P"), "surname", "given")
+        named = durable(person_forms(people).join(people, "s").withColumn("form", form))
+        forms = named.groupBy("form", "surname", "given").agg(F.sum("n").alias("n"))
+        forms = forms.select("form", F.col("surname").alias("x1"), F.col("given").alias("x2"), "n")
+        read.append(named.select("s", "form"))
+        full.append(forms.filter(~F.col("x2").endswith(".")))
+        short.append((_fit_initials, forms.filter(F.col("x2").endswith("."))))
+    if organisations is not None:
+        form = F.concat_ws(" ", F.lit("O"), "kind", "place")
+        named = durable(organisation_forms(organisations).join(organisations, "s").withColumn("form", form))
+        forms = named.groupBy("form", "kind", "place").agg(F.sum("n").alias("n"))
+        forms = forms.select("form", F.col("place").alias("x1"), F.col("kind").alias("x2"), "n")
+        read.append(named.select("s", "form"))
+        full.append(forms.filter(~F.col("x1").contains("*")))
+        short.append((_fit_codes, forms.filter(F.col("x1").contains("*"))))
+    whole = durable(_union(full))
+    nodes = connected_components(link_forms(whole.select("form", "x1", "x2")))
+    entities = durable(
+        whole.join(nodes, whole.form == nodes.node, "left").select("form", "x1", "x2", "n", F.coalesce("component", "form").alias("entity"))
+    )
+    every = [entities.select("form", "entity"), *(fit(rows, entities) for fit, rows in short)]
+    return _union(read).join(_union(every), "form").select("s", "entity")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
 
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([lcs_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
 
-    fits = fits.withColumn("near", F.pandas_udf(ratio, DoubleType())("surname", "full_surname")).filter(F.col("near") >= RATIO_NAME)
-    best = fits.groupBy("form").agg(F.max_by("entity", F.struct(F.col("near"), F.col("weight"), F.col("entity"))).alias("entity"))
-    alone = short.join(best, "form", "left_anti").select("form", "surname", F.concat(F.lit("~"), F.substring("given", 1, 1)).alias("i"))
-    alone = alone.select("form", F.concat_ws(" ", "surname", "i").alias("entity"))
-    every = entities.select("form", "entity").unionByName(best.select("form", "entity")).unionByName(alone)
-    return read.select("s", "form").join(every, "form").select("s", "entity")
+def _fit_initials(short: DataFrame, entities: DataFrame) -> DataFrame:
+    """(form, entity) of forms whose given name is an initial or cut short.
+
+    The entity's given name has to begin with what is left, its surname to be near (a common suffix or beginning); of
+    several entities the nearest, then the most frequent. Forms that fit none share an entity by surname and initial.
+    """
+    own = entities.filter("startswith(form, 'P')")
+    weights = own.groupBy("entity").agg(F.sum("n").alias("weight"))
+    ends = F.array_distinct(F.array(F.right("x1", F.lit(MIN_SUFFIX)), F.concat(F.lit("^"), F.left("x1", F.lit(MIN_SUFFIX)))))
+    cut = short.select("form", "x1", F.expr("left(x2, length(x2) - 1)").alias("stem"), F.left("x2", F.lit(1)).alias("initial"), F.explode(ends).alias("block"))
+    full = own.select(F.col("x1").alias("y1"), F.col("x2").alias("given"), "entity", F.left("x2", F.lit(1)).alias("initial"), F.explode(ends).alias("block")).distinct()
+    fits = cut.join(full, ["block", "initial"]).filter(F.expr("startswith(given, stem)")).join(weights, "entity")
+    fits = fits.withColumn("near", _ratio()("x1", "y1")).filter(F.col("near") >= RATIO_NAME)
+    best = fits.groupBy("form").agg(F.max_by("entity", F.struct("near", "weight", "entity")).alias("best"))
+    alone = F.concat_ws(" ", F.lit("P"), "x1", F.concat(F.lit("~"), F.left("x2", F.lit(1))))
+    return short.join(best, "form", "left").select("form", F.coalesce("best", alone).alias("entity"))
+
+
+def _fit_codes(codes: DataFrame, entities: DataFrame) -> DataFrame:
+    """(form, entity) of codes: the beginning of a place, its last letter and the kind tell the entity."""
+    own = entities.filter("startswith(form, 'O')").select("entity", "x2", "x1", F.right("x1", F.lit(1)).alias("last"))
+    own = own.select("entity", "x2", "last", F.explode(F.transform(F.sequence(F.lit(5), F.lit(9)), lambda n: F.left("x1", n))).alias("stem"))
+    typed = codes.select("form", "x2", F.substring_index("x1", "*", 1).alias("stem"), F.substring_index("x1", "*", -1).alias("last"))
+    found = typed.join(own, ["x2", "stem", "last"]).groupBy("form").agg(F.min("entity").alias("found"))
+    return codes.join(found, "form", "left").select("form", F.coalesce("found", "form").alias("entity"))
+
+
+def link_persons(strings: DataFrame) -> DataFrame:
+    """(s, entity) of strings (s, n) of persons."""
+    return link_names(strings, None)
 
 
 def link_organisations(strings: DataFrame) -> DataFrame:
     """(s, entity) of strings (s, n) of organisations."""
-    read = durable(organisation_forms(strings).withColumn("form", F.concat_ws(" ", "kind", "place")))
-    forms = read.select("form", "kind", "place").distinct()
-    plain = durable(forms.filter(~F.col("place").contains("*")))
-    entities = durable(_close(plain, link_forms(plain.select("form", F.col("place").alias("x1"), F.col("kind").alias("x2"))).filter("substring(a, 1, 1) = substring(b, 1, 1)")))
-    codes = forms.filter(F.col("place").contains("*")).select("form", "kind", F.substring_index("place", "*", 1).alias("stem"), F.substring_index("place", "*", -1).alias("last"))
-    named = plain.join(entities, "form").select("kind", "place", "entity", F.right("place", F.lit(1)).alias("last"))
-    named = named.withColumn("stem", F.explode(F.transform(F.sequence(F.lit(5), F.lit(9)), lambda n: F.left("place", n))))
-    found = codes.join(named, ["kind", "stem", "last"]).groupBy("form").agg(F.min("entity").alias("entity"))
-    alone = codes.join(found, "form", "left_anti").select("form", F.col("form").alias("entity"))
-    every = entities.unionByName(found).unionByName(alone)
-    return read.select("s", "form").join(every, "form").select("s", "entity")
+    return link_names(None, strings)
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:

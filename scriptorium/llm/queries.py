@@ -97,9 +97,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = read_table(spark, sf_dir, "entities").filter(F.col("type").isin("Author", "Institution"))
     typed = entities.select("type", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("s"))
     strings = authors.unionByName(typed).filter("s is not null").groupBy("type", "s").agg(F.count(F.lit(1)).alias("n"))
-    people = names.link_persons(strings.filter("type = 'Author'").select("s", "n"))
-    places = names.link_organisations(strings.filter("type = 'Institution'").select("s", "n"))
-    return names.spelling_pairs(people).unionByName(names.spelling_pairs(places)).distinct()
+    linked = names.link_names(strings.filter("type = 'Author'").select("s", "n"), strings.filter("type = 'Institution'").select("s", "n"))
+    return names.spelling_pairs(linked)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
