@@ -4,7 +4,7 @@ Every distinct string is read once: its consistent form, titles removed, accents
 and a given name (full, cut short or an initial), for an organisation its kind and its place. Strings with equal readings
 are one form. Forms are blocked by suffixes: each suffix of a name of at least `MIN_SUFFIX` letters is a key of the
 index; a suffix that more than `COMMON` forms share is not dropped but refined by a second field (the other name's
-first letters), and again by the name's own first letters. Pairs in a block are compared by the ratio of their longest
+first letters), and again by the name's own first letters and by a longer suffix. Pairs in a block are compared by the ratio of their longest
 common subsequence, on both fields. Links are closed to components; forms with only an initial join the component that
 fits them, the most frequent one if several fit.
 
@@ -29,6 +29,8 @@ from scriptorium.sources.tables import durable
 
 #: Shortest suffix that is indexed; forms that may share a suffix before it is refined.
 MIN_SUFFIX, COMMON = 4, 40
+#: The longer suffix that refines a key which is still common.
+LONG_SUFFIX = 7
 #: Least ratios of the longest common subsequence of the names (surnames, places) and of the second field.
 RATIO_NAME, RATIO_SECOND = 0.85, 0.75
 #: Titles before a name.
@@ -175,7 +177,7 @@ def _blocks(own: Column, other: Column) -> Column:
         lambda n: F.struct(
             F.right(own, n).alias("suffix"),
             F.substring(other, 1, 2).alias("second"),
-            F.substring(own, 1, 2).alias("third"),
+            F.array(F.substring(own, 1, 2), F.concat(F.lit("-"), F.right(own, F.lit(LONG_SUFFIX)))).alias("third"),
         ),
     )
 
@@ -199,7 +201,7 @@ def link_forms(forms: DataFrame) -> DataFrame:
     The first letter of a form is its kind; forms of different kinds never meet.
 
     A key is a suffix of one field. Keys that more than COMMON forms share are refined by the other field's first letters
-    and, where still common, by the field's own; nothing is discarded.
+    and, where still common, both by the field's own first letters and by a longer suffix; nothing is discarded.
     """
     keys = forms.select("form", "x1", "x2", F.inline(F.concat(_blocks(F.col("x1"), F.col("x2")), _blocks(F.col("x2"), F.col("x1")))))
     keys = keys.withColumn("suffix", F.concat(F.left("form", F.lit(1)), "suffix"))
@@ -211,7 +213,8 @@ def link_forms(forms: DataFrame) -> DataFrame:
     at = common(keys, "suffix", "hot")
     at = at.withColumn("key", F.when(F.col("hot"), F.concat_ws("|", "suffix", "second")).otherwise(F.col("suffix")))
     at = common(at, "key", "still")
-    final = F.when(F.col("hot") & F.col("still"), F.concat_ws("|", "key", "third")).otherwise(F.col("key"))
+    longer = F.transform("third", lambda t: F.concat_ws("|", F.col("key"), t))
+    final = F.explode(F.when(F.col("hot") & F.col("still"), longer).otherwise(F.array("key")))
     at = durable(at.select("form", "x1", "x2", final.alias("key")).distinct())
     left = at.select("key", F.col("form").alias("a"), "x1", "x2")
     right = at.select("key", F.col("form").alias("b"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
