@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
+from scriptorium.functions.shingling import word_hashes
 from scriptorium.functions.tokens import lexical_tokens
 from scriptorium.sources.tables import broadcast_if_small
 
 #: Okapi parameters and the rank constant of the fusion.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 TOP_K = 8
+#: Queries that may be sent to all rows as one matrix.
+MOST_QUERIES = 20_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,16 +70,51 @@ def dot(a: Column, b: Column) -> Column:
 def vector_search(queries: DataFrame, query_key: str, query_vector: str, rows: DataFrame, key: str, vector: str, k: int = TOP_K) -> DataFrame:
     """(query_key, key, score, rank): exact cosine top k of a stated query set against all rows, in blocks.
 
-    The query set is broadcast if it is small (counted) and joined in blocks of a shuffle otherwise; norms are computed
-    once a row. Zero vectors score 0; null vectors have no row.
+    Up to MOST_QUERIES queries (counted) go to the rows as one matrix, and each block of rows keeps its k best of each
+    query; more queries are joined. Zero vectors score 0; null vectors have no row; keys are not null.
     """
-    norm = lambda v: F.sqrt(dot(v, v))
-    q = queries.select(query_key, F.col(query_vector).alias("qv"), norm(F.col(query_vector)).alias("qn")).filter("qv is not null")
-    r = rows.select(key, F.col(vector).alias("rv"), norm(F.col(vector)).alias("rn")).filter("rv is not null")
-    both = r.join(broadcast_if_small(q, 20_000), F.lit(True))
-    scale = F.col("qn") * F.col("rn")
-    score = F.when(scale > 0, dot(F.col("qv"), F.col("rv")) / scale).otherwise(0.0)
-    return top_k(both.select(query_key, key, F.round(score, 6).alias("score")), query_key, key, k)
+    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).filter("v is not null")
+    wanted = rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).filter("v is not null")
+    if asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        scored = _in_blocks(asked, wanted, k)
+    else:
+        norm = lambda v: F.sqrt(dot(v, v))
+        left = asked.select("q", F.col("v").alias("qv"), norm(F.col("v")).alias("qn"))
+        right = wanted.select("k", F.col("v").alias("rv"), norm(F.col("v")).alias("rn"))
+        scale = F.col("qn") * F.col("rn")
+        cosine = F.when(scale > 0, dot(F.col("qv"), F.col("rv")) / scale).otherwise(0.0)
+        scored = right.join(left, F.lit(True)).select("q", "k", F.round(cosine, 6).alias("score"))
+    return top_k(scored.select(F.col("q").alias(query_key), F.col("k").alias(key), "score"), query_key, key, k)
+
+
+def _in_blocks(asked: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(q, k, score): of each block of rows the k best of each query, by one matrix product a block."""
+    queries = asked.collect()
+    if not queries:
+        return asked.select("q").crossJoin(wanted.select("k")).withColumn("score", F.lit(0.0)).limit(0)
+    matrix = np.array([r.v for r in queries], dtype=np.float64)
+    sizes = np.linalg.norm(matrix, axis=1)
+    matrix /= np.where(sizes > 0, sizes, 1.0)[:, None]
+    names = pa.array([r.q for r in queries])
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("q", asked), ("k", wanted)))
+    query_type = asked.schema["q"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            order = sorted(range(len(keys)), key=keys.__getitem__)  # ties go by key
+            vectors = np.array(batch.column(1).take(pa.array(order)).to_pylist(), dtype=np.float64)
+            lengths = np.linalg.norm(vectors, axis=1)
+            scores = np.round(vectors / np.where(lengths > 0, lengths, 1.0)[:, None] @ matrix.T, 6) + 0.0
+            best = np.argsort(-scores, axis=0, kind="stable")[:k]
+            of = np.broadcast_to(np.arange(scores.shape[1]), best.shape)
+            at = pa.array(np.asarray(order)[best].ravel())
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(of.ravel())).cast(to_arrow_type(query_type)), batch.column(0).take(at), pa.array(scores[best, of].ravel())],
+                names=["q", "k", "score"],
+            )
+
+    return wanted.mapInArrow(run, f"{kinds}, score double")
 
 
 def fuse(lists: list[tuple[str, DataFrame]], query_key: str, key: str, limit: int | None = None) -> DataFrame:
@@ -92,9 +137,16 @@ def fuse(lists: list[tuple[str, DataFrame]], query_key: str, key: str, limit: in
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """A deterministic term vector: each token adds one at its hash; stands in for a model when none is given."""
-    at = F.transform(lexical_tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(at, lambda x: x == d)).cast("float"))
+    """A deterministic term vector: each token adds one at its hash; stands in for a model when none is given.
+
+    Null and empty texts give the zero vector. Vectorised in Arrow batches, so a plan evaluates it once a row.
+    """
+
+    def embed(texts: pd.Series) -> pd.Series:
+        at = ((word_hashes(t) % np.uint64(dim)).astype(np.int64) for t in texts)
+        return pd.Series([np.bincount(x, minlength=dim).astype(np.float32) for x in at])
+
+    return F.pandas_udf(embed, ArrayType(FloatType()))(text)
 
 
 def hybrid_search(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, k: int = TOP_K, mode: str = "hybrid") -> DataFrame:
