@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 from scriptorium.operators.components import connected_components
 from scriptorium.sources.tables import durable
 
-LEAST_MEMBERS, MOST_ROUNDS, MOST_LEVELS = 3, 60, 10
+LEAST_MEMBERS = 3
+#: Least gain of a move, absolute and as a share of the graph's degrees: below it a gain may be rounding alone.
+LEAST_GAIN, LEAST_SHARE = 1e-9, 1e-13
 #: Edges up to which (counted) a graph is moved in one task; larger ones run in distributed rounds.
 ONE_TASK_EDGES = 100_000
 
@@ -80,18 +82,22 @@ def _in_one_task(weights: DataFrame, resolution: float) -> DataFrame:
 
 
 def _local_moves(weights: DataFrame, resolution: float) -> tuple[DataFrame, int]:
-    """(node, community) after moves that each raise modularity; how many moves were made.
+    """(node, community) after moves that each raise modularity, until no node has one left; how many moves were made.
 
-    Only disjoint moves run in one round: a move is accepted if it has the highest (gain, node) among all moves that
-    touch its source or its target community, so every round raises the modularity and the process ends.
+    In a round a community either gives or takes, so a move never meets another one's target as its source. By turns a
+    community's role is that of the highest (gain, node) move that touches it, which always lets the highest move of all
+    through, and a coin's, which breaks chains of moves that wait for each other. A community takes and gives many nodes
+    a round: in the order (gain, node), each move ahead with the same target or source lowers the gain by at most
+    share times its degree, so a move is made where its gain still holds after all moves ahead of it.
     """
     both = durable(weights.unionByName(weights.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     # A self-loop counts twice in its node's degree.
     degree = durable(both.groupBy("a").agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).alias("k")))
     total = degree.agg(F.sum("k")).first()[0] or 0.0
     place = durable(degree.select(F.col("a").alias("node"), F.col("a").alias("community")))
-    moved = 0
-    for _ in range(MOST_ROUNDS):
+    least = max(LEAST_GAIN, LEAST_SHARE * total)
+    moved, turn = 0, 0
+    while True:
         tot = place.join(degree, place.node == degree.a).groupBy("community").agg(F.sum("k").alias("tot"))
         near = both.filter("a <> b").join(place.withColumnRenamed("node", "b").withColumnRenamed("community", "target"), "b")
         links = near.groupBy("a", "target").agg(F.sum("weight").alias("w"))
@@ -105,28 +111,31 @@ def _local_moves(weights: DataFrame, resolution: float) -> tuple[DataFrame, int]
         )
         share = resolution * F.col("k") / F.lit(total)
         gain = F.col("w") - F.coalesce("w_own", F.lit(0.0)) - share * (F.col("tot_t") - (F.col("tot_s") - F.col("k")))
-        offers = offers.withColumn("gain", F.round(gain, 9)).filter("gain > 0")
-        best = offers.groupBy("a").agg(F.max_by(F.struct("source", "target", "gain"), F.struct(F.col("gain"), F.col("target"))).alias("m")).select("a", "m.*")
+        offers = offers.withColumn("gain", F.round(gain, 9)).withColumn("share", share).filter(F.col("gain") > least)
+        best = offers.groupBy("a").agg(F.max_by(F.struct("source", "target", "gain", "share", "k"), F.struct(F.col("gain"), F.col("target"))).alias("m")).select("a", "m.*")
         best = durable(best)
-        touches = best.select("a", "gain", F.explode(F.array("source", "target")).alias("c"))
-        first = touches.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("gain"), "a"))).filter("n = 1")
-        chosen = first.groupBy("a").agg(F.count(F.lit(1)).alias("won")).filter("won = 2").join(best, "a").select(F.col("a").alias("node"), "target")
+        if best.isEmpty():
+            return place, moved
+        touches = best.select("a", "gain", F.explode(F.array(F.struct(F.col("source").alias("c"), F.lit(False).alias("takes")), F.struct(F.col("target").alias("c"), F.lit(True).alias("takes")))).alias("t"))
+        first = F.max_by("t.takes", F.struct(F.col("gain"), F.col("a"))) if turn % 2 == 0 else F.any_value(F.xxhash64("t.c", F.lit(turn)) % 2 == 0)
+        roles = touches.groupBy(F.col("t.c").alias("c")).agg(first.alias("takes"))
+        giving, taking = (roles.filter(F.col("takes") == t).select(F.col("c").alias(n)) for n, t in (("source", False), ("target", True)))
+        ahead = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy(F.desc("gain"), F.desc("a")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        ready = best.join(giving, "source").join(taking, "target").withColumn("ahead", ahead("target")).withColumn("ahead", F.col("ahead") + ahead("source"))
+        chosen = ready.filter(F.col("gain") - F.col("share") * F.col("ahead") > least).select(F.col("a").alias("node"), "target")
         after = durable(place.join(chosen, "node", "left").select("node", F.coalesce("target", "community").alias("community"), F.col("target").isNotNull().alias("new")))
-        changed = after.filter("new").count()
+        moved += after.filter("new").count()
         place = after.select("node", "community")
-        moved += changed
-        if not changed:
-            break
-    return place, moved
+        turn += 1
 
 
 def _in_rounds(start: DataFrame, resolution: float) -> DataFrame:
     membership = start.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node"))
     level = start
-    for _ in range(MOST_LEVELS):
+    while True:  # every level with a move has fewer nodes than the one before
         place, moved = _local_moves(level, resolution)
         if not moved:
-            break
+            return membership
         side = lambda n: place.select(F.col("node").alias(n), F.col("community").alias(f"c_{n}"))
         within = level.join(side("a"), "a").join(side("b"), "b").filter("c_a = c_b and a <> b")
         parts = connected_components(within, "a", "b")
@@ -134,7 +143,6 @@ def _in_rounds(start: DataFrame, resolution: float) -> DataFrame:
         membership = durable(membership.join(place.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")))
         ends = level.join(place.select(F.col("node").alias("a"), F.col("community").alias("x")), "a").join(place.select(F.col("node").alias("b"), F.col("community").alias("y")), "b")
         level = durable(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight")))
-    return membership
 
 
 def detect_communities(
@@ -143,8 +151,8 @@ def detect_communities(
     """(node, community, size) of undirected weights (a, b, weight); communities of fewer members are left out.
 
     Louvain levels; communities that a level leaves disconnected are split into their components before they are
-    aggregated. Graphs of at most `one_task_edges` edges are moved in one task, larger ones in rounds of disjoint moves
-    that each raise the modularity. Deterministic: ties go by node. A community is named by its least member.
+    aggregated. Graphs of at most `one_task_edges` edges are moved in one task, larger ones in rounds of moves that
+    each raise the modularity, until none is left: both end where no move gains, yet may end in different partitions. Deterministic: ties go by node. A community is named by its least member.
     """
     clean = weights.filter("a is not null and b is not null and a <> b and weight > 0")
     start = durable(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")))

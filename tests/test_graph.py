@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +71,27 @@ def test_two_clusters(spark, one_task_edges):
     assert communities.detect_communities(spark.createDataFrame([("x", "y", 1.0)], "a string, b string, weight double")).count() == 0
 
 
+def test_hubs_keep_all_their_leaves_in_rounds(spark):
+    edges = [(h, f"{h}{i:04}", 1.0) for h in ("m", "n") for i in range(800)] + [("m", "n", 1.0)]
+    found = communities.detect_communities(spark.createDataFrame(edges, "a string, b string, weight double"), one_task_edges=0)
+    assert sorted((r.community, r.n) for r in found.groupBy("community").agg(F.count(F.lit(1)).alias("n")).collect()) == [("m", 801), ("n", 801)]
+
+
+def test_rounds_end_where_no_move_gains(spark):
+    rng = random.Random(3)
+    edges = {(f"{c}{a:02}", f"{c}{b:02}"): 1.0 for c in "abcd" for a in range(30) for b in rng.sample(range(30), 5) if a < b}
+    edges |= {(f"{rng.choice('ab')}{rng.randrange(30):02}", f"{rng.choice('cd')}{rng.randrange(30):02}"): 0.5 for _ in range(20)}
+    start = spark.createDataFrame([(*e, w) for e, w in edges.items()], "a string, b string, weight double")
+    own = {r.node: r.community for r in communities._local_moves(start, 1.0)[0].collect()}
+    degree, total = Counter(), 2 * sum(edges.values())
+    for (a, b), w in edges.items():
+        degree[a] += w
+        degree[b] += w
+    for node in own:
+        worth = lambda c: sum(w for e, w in edges.items() for n, o in (e, e[::-1]) if n == node and own[o] == c) - degree[node] / total * sum(degree[o] for o in own if own[o] == c and o != node)  # noqa: B023, E731
+        assert all(worth(c) <= worth(own[node]) + 1e-8 for c in set(own.values()))
+
+
 EDGES = [("USES", "Method", "MossRank", "Dataset", "Harbor QA", 1.0), ("USES", "Method", "Lantern", "Dataset", "Harbor QA", 0.0), ("BUILDS_ON", "Method", "Lantern", "Method", "MossRank", 0.5)]
 
 
