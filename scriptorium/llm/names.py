@@ -2,11 +2,12 @@
 
 Every distinct string is read once: its consistent form, titles removed, accents folded, then for a person a surname
 and a given name (full, cut short or an initial), for an organisation its kind and its place. Strings with equal readings
-are one form. Forms are blocked by suffixes: each suffix of a name of at least `MIN_SUFFIX` letters is a key of the
-index; a suffix that more than `COMMON` forms share is not dropped but refined by a second field (the other name's
-first letters), and again by the name's own first letters and by a longer suffix. Pairs in a block are compared by the ratio of their longest
-common subsequence, on both fields. Links are closed to components; forms with only an initial join the component that
-fits them, the most frequent one if several fit.
+are one form. Two forms are linked if the ratio of the longest common subsequence reaches its least value on both fields.
+The distinct values of each field are joined with their near values first: values within the ratio share a subsequence of
+a known length, or of a part of the value if it is long, and those are the keys, so no pair is lost. A form then meets another where its first field,
+replaced by a near value, and the other's second field, replaced likewise, are the same; a common name is no block of its own.
+Links are closed to components; forms with only an initial join the component that fits them, the most frequent one if
+several fit.
 
 Null, blank and collective strings ("et al.") name nobody and have no row.
 """
@@ -16,6 +17,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import pandas as pd
 import pyarrow as pa
@@ -27,10 +30,10 @@ from scriptorium.llm.canonical import canonical
 from scriptorium.operators.components import connected_components
 from scriptorium.sources.tables import durable
 
-#: Shortest suffix that is indexed; forms that may share a suffix before it is refined.
-MIN_SUFFIX, COMMON = 4, 40
-#: The longer suffix that refines a key which is still common.
-LONG_SUFFIX = 7
+#: Letters at the beginning or end that the surname of an initial shares with an entity's.
+MIN_SUFFIX = 4
+#: Most subsequences of a whole value that are its keys; beyond that they are taken of its parts, with as many edits each.
+WHOLE_KEYS, PART_EDITS = 400, 2
 #: Least ratios of the longest common subsequence of the names (surnames, places) and of the second field.
 RATIO_NAME, RATIO_SECOND = 0.85, 0.75
 #: Titles before a name.
@@ -169,17 +172,71 @@ def read_person(first: list[str], rest: list[str], given_score) -> tuple[str, st
     return None
 
 
-def _blocks(own: Column, other: Column) -> Column:
-    """The suffixes of `own` from MIN_SUFFIX letters, each with what refines it."""
-    sizes = F.when(F.length(own) > MIN_SUFFIX, F.array(F.lit(MIN_SUFFIX), F.length(own))).otherwise(F.array(F.length(own)))
-    return F.transform(
-        F.array_distinct(sizes),
-        lambda n: F.struct(
-            F.right(own, n).alias("suffix"),
-            F.substring(other, 1, 2).alias("second"),
-            F.array(F.substring(own, 1, 2), F.concat(F.lit("-"), F.right(own, F.lit(LONG_SUFFIX)))).alias("third"),
-        ),
-    )
+def _shorter(text: str, less: int) -> set[str]:
+    """`text` without any `less` of its letters."""
+    return {"".join(c) for c in combinations(text, len(text) - less)}
+
+
+def _edits(n: int, m: int, ratio: float) -> tuple[int, int] | None:
+    """(letters that lengths n and m may leave unmatched) within the ratio; None if no such pair can reach it."""
+    least = next((x for x in range(min(n, m) + 1) if 2 * x / (n + m) >= ratio), None)
+    return None if least is None else (n - least, m - least)
+
+
+def near_keys(text: str, ratio: float) -> Iterator[tuple[bool, str]]:
+    """(is the shorter of a pair, key) such that two different values of at least the ratio share a key in opposite roles.
+
+    The lengths n <= m of a pair bound its unmatched letters. While there are few, its keys are the common subsequences
+    of the least length; else the shorter value is cut into parts of which one has at most PART_EDITS edits, and the
+    other value tries each place that part may stand at.
+    """
+    size = len(text)
+    for other in range(1, int(size * (2 - ratio) / ratio) + 2):
+        for role in {size <= other, not size >= other}:
+            n, m = (size, other) if role else (other, size)
+            edits = _edits(n, m, ratio)
+            if edits is None or not sum(edits):
+                continue
+            i, j = edits
+            if max(comb(n, i), comb(m, j)) <= WHOLE_KEYS:
+                for said in _shorter(text, i if role else j):
+                    yield role, f"{n} {m} {said}"
+                continue
+            parts = (i + j) // (PART_EDITS + 1) + 1
+            most = (i + j) // parts
+            for p in range(parts):
+                start, end = n * p // parts, n * (p + 1) // parts
+                for x in range(min(most, i, end - start) + 1):
+                    if role:
+                        found = _shorter(text[start:end], x)
+                    else:
+                        found = set()
+                        for y in range(min(most - x, j) + 1):
+                            length = end - start - x + y
+                            places = [0] if p == 0 else [m - length] if p == parts - 1 else range(max(0, start - i), min(start + j, m - length) + 1)
+                            for at in places:
+                                if at >= 0 and at + length <= m:
+                                    found |= _shorter(text[at : at + length], y)
+                    for said in found:
+                        yield role, f"{n} {m} {p} {said}"
+
+
+def near_values(values: DataFrame, ratio: float) -> DataFrame:
+    """(kind, x, y): all ordered pairs of distinct values (kind, x) of one kind with at least the ratio, equal ones included."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kinds, texts = (c.to_pylist() for c in batch.columns)
+        rows = [(kind, x, role, key) for kind, x in zip(kinds, texts) for role, key in set(near_keys(x, ratio))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.string(), pa.string(), pa.bool_(), pa.string()])], names=["kind", "x", "role", "key"])
+
+    keyed = _map(values.select("kind", "x"), keys, "kind string, x string, role boolean, key string")
+    keyed = durable(keyed.select("kind", "x", "role", F.xxhash64("kind", "key").alias("key")))
+    longer = keyed.filter("not role").select(F.col("kind").alias("kind_y"), F.col("x").alias("y"), "key")
+    # Lengths stand in the key: a value of equal length has both roles, so its pairs are met twice and kept once.
+    pairs = keyed.filter("role").join(longer, "key").filter("kind = kind_y and x <> y").select("kind", "x", "y").distinct()
+    one = durable(pairs.filter(_ratio()("x", "y") >= ratio))
+    both = one.unionByName(one.select("kind", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    return both.unionByName(values.select("kind", "x", F.col("x").alias("y")))
 
 
 def _ratio():
@@ -189,37 +246,17 @@ def _ratio():
     return F.pandas_udf(ratio, DoubleType())
 
 
-def _compare(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of forms whose fields agree."""
-    measure = _ratio()
-    return pairs.filter((measure("x1", "y1") >= RATIO_NAME) & (measure("x2", "y2") >= RATIO_SECOND)).select("a", "b")
-
-
 def link_forms(forms: DataFrame) -> DataFrame:
-    """Distinct links (a, b) of `forms` (form, x1, x2) by suffix blocking; x1 and x2 are the fields to compare.
+    """Distinct links (a, b) of `forms` (form, x1, x2): all pairs whose fields x1 and x2 reach their ratios.
 
     The first letter of a form is its kind; forms of different kinds never meet.
-
-    A key is a suffix of one field. Keys that more than COMMON forms share are refined by the other field's first letters
-    and, where still common, both by the field's own first letters and by a longer suffix; nothing is discarded.
     """
-    keys = forms.select("form", "x1", "x2", F.inline(F.concat(_blocks(F.col("x1"), F.col("x2")), _blocks(F.col("x2"), F.col("x1")))))
-    keys = keys.withColumn("suffix", F.concat(F.left("form", F.lit(1)), "suffix"))
-
-    def common(rows: DataFrame, key: str, mark: str) -> DataFrame:
-        often = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > COMMON)
-        return rows.join(often.select(key, F.lit(True).alias(mark)), key, "left")
-
-    at = common(keys, "suffix", "hot")
-    at = at.withColumn("key", F.when(F.col("hot"), F.concat_ws("|", "suffix", "second")).otherwise(F.col("suffix")))
-    at = common(at, "key", "still")
-    longer = F.transform("third", lambda t: F.concat_ws("|", F.col("key"), t))
-    final = F.explode(F.when(F.col("hot") & F.col("still"), longer).otherwise(F.array("key")))
-    at = durable(at.select("form", "x1", "x2", final.alias("key")).distinct())
-    left = at.select("key", F.col("form").alias("a"), "x1", "x2")
-    right = at.select("key", F.col("form").alias("b"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
-    pairs = left.join(right, "key").filter("a < b").select("a", "b", "x1", "x2", "y1", "y2").distinct()
-    return _compare(pairs)
+    typed = durable(forms.select("form", F.left("form", F.lit(1)).alias("kind"), "x1", "x2").filter("x1 <> '' and x2 <> ''").distinct())
+    near = lambda c, ratio: durable(near_values(typed.select("kind", F.col(c).alias("x")).distinct(), ratio))
+    first, second = near("x1", RATIO_NAME), near("x2", RATIO_SECOND)
+    left = typed.join(first.select("kind", F.col("x").alias("x1"), "y"), ["kind", "x1"]).select("kind", F.col("form").alias("a"), F.col("y").alias("k1"), F.col("x2").alias("k2"))
+    right = typed.join(second.select("kind", F.col("x").alias("x2"), "y"), ["kind", "x2"]).select("kind", F.col("form").alias("b"), F.col("x1").alias("k1"), F.col("y").alias("k2"))
+    return left.join(right, ["kind", "k1", "k2"]).filter("a < b").select("a", "b")
 
 
 def _map(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -159,6 +159,31 @@ def test_lcs_ratio():
         assert names.lcs_ratio(a, b) == pytest.approx(slow(a, b))
 
 
+@pytest.mark.parametrize("whole", [400, 0])
+def test_near_keys_lose_no_pair(monkeypatch, whole):
+    monkeypatch.setattr(names, "WHOLE_KEYS", whole)
+    rng = random.Random(8)
+    for ratio in (names.RATIO_NAME, names.RATIO_SECOND):
+        for _ in range(400 if whole else 150):
+            a = "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 17)))
+            b = "".join(rng.choice(["", c, c, c, c, c, c, rng.choice("abcde"), c + rng.choice("abcde")]) for c in a)
+            if a != b and names.lcs_ratio(a, b) >= ratio:
+                x, y = set(names.near_keys(a, ratio)), set(names.near_keys(b, ratio))
+                assert any((not role, key) in y for role, key in x), (a, b)
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(9)
+    slip = lambda w: (lambda i: rng.choice([w[:i] + w[i + 1 :], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :], w[:i] + rng.choice("aeiou") + w[i:]]))(rng.randrange(1, len(w)))
+    given = ["".join(rng.choice("bdfklmnrst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(60)]
+    rows = {(f, g) for f in ("pobagabab", "pobagabeb") for g in given} | {("pobagabab", "susan"), ("pobagabab", "snsan"), ("lakijafeb", "mira"), ("lkaijafeb", "mira"), ("lakijafbe", "miar")}
+    rows |= {(slip(f), slip(g)) for f, g in sorted(rows)}
+    forms = [(f"P {f} {g}", f, g) for f, g in sorted(rows)] + [("O U pobagabab", "pobagabab", "U"), ("O R pobagabab", "pobagabab", "R")]
+    want = {(a, b) for a, p, q in forms for b, r, s in forms if a < b and a[0] == b[0] and names.lcs_ratio(p, r) >= names.RATIO_NAME and names.lcs_ratio(q, s) >= names.RATIO_SECOND}
+    got = [tuple(r) for r in names.link_forms(spark.createDataFrame(forms, "form string, x1 string, x2 string")).collect()]
+    assert set(got) == want and len(got) == len(want) and ("P pobagabab snsan", "P pobagabab susan") in want
+
+
 PEOPLE = [
     ["Susan Pobagabab", "Pobagabab, Susan", "POBAGABAB, Susan", "S. Pobagabab", "Pobagabab S", "Sue Pobagabab", "Pobagabab Susan", "Ssuan Pobagabab", "Susan Pobagatab", "Dr. Susan Pobagabab", "Susan  Pobagabab "],
     ["Kenji Vanaseket", "K. Vanaseket", "Kenj. Vanaseket", "kenji vanaseket", "Vanaseket KE"],
