@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,12 +65,17 @@ def relations(log: DataFrame) -> DataFrame:
     )
 
 
-def typed_edges(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+def plain_key(column: str) -> Column:
+    """A name lower-cased as it stands."""
+    return F.lower(F.trim(F.col(column)))
+
+
+def typed_edges(rows: DataFrame, aliases: DataFrame, key: Callable[[str], Column] = plain_key) -> DataFrame:
     """Edges of relations with both ends resolved strictly, the first of equal ones, with an allowed signature.
 
-    A Paper-typed end becomes the record's paper. Edges are deduplicated before the signature is checked.
+    A Paper-typed end becomes the record's paper. Edges are deduplicated before the signature is checked. `key` gives
+    the key of `aliases` that an end is looked up by.
     """
-    key = lambda c: F.lower(F.trim(F.col(c)))
     side = lambda n: aliases.select(F.col("key").alias(f"k_{n}"), F.col("canonical").alias(f"name_{n}"), F.col("type").alias(f"label_{n}"))
     both = rows.withColumn("k_s", key("subject")).withColumn("k_o", key("object")).join(side("s"), "k_s").join(side("o"), "k_o")
     end = lambda n: F.when(F.col(f"label_{n}") == "Paper", F.col("paper_id")).otherwise(F.col(f"name_{n}"))

@@ -159,9 +159,26 @@ def alias_map(entities: DataFrame) -> DataFrame:
     return names.join(kinds, "key")
 
 
+def merged_aliases(entities: DataFrame) -> DataFrame:
+    """(key, canonical, type): `alias_map` with its canonical names merged by `resolve_entities`, one type for each name.
+
+    A name's type is the most frequent among its keys, then the last in order.
+    """
+    aliases = durable(alias_map(entities))
+    typed = lambda rows, name: rows.groupBy(name, "type").agg(F.count(F.lit(1)).alias("c")).groupBy(name).agg(F.max_by("type", F.struct("c", "type")).alias("type"))
+    merged = durable(resolve_entities(typed(aliases, "canonical").select("type", F.col("canonical").alias("name"))))
+    named = durable(aliases.select("key", F.col("canonical").alias("name")).join(merged, "name").select("key", "canonical", "type"))
+    return named.select("key", "canonical").join(typed(named, "canonical"), "canonical").select("key", "canonical", "type")
+
+
+def endpoint_key(column: str) -> Column:
+    """The key of an alias map that a relation's end is looked up by."""
+    return F.lower(strip_config_column(F.trim(F.col(column))))
+
+
 def resolve_endpoint(df: DataFrame, column: str, aliases: DataFrame, out: str, strict: bool = True) -> DataFrame:
     """`df` with `out` = the canonical name of `column`; strict: rows without one are dropped, else the raw text is kept."""
     table = aliases.select(F.col("key").alias("__key"), F.col("canonical").alias("__canonical"))
-    joined = df.withColumn("__key", F.lower(strip_config_column(F.trim(F.col(column))))).join(table, "__key", "inner" if strict else "left")
+    joined = df.withColumn("__key", endpoint_key(column)).join(table, "__key", "inner" if strict else "left")
     found = F.col("__canonical") if strict else F.coalesce("__canonical", F.trim(F.col(column)), F.lit(""))
     return joined.withColumn(out, found).drop("__key", "__canonical")

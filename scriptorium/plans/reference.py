@@ -277,7 +277,7 @@ JOIN (VALUES {_SIGNATURES}) s(a, b, c) ON rel = a AND src_label = b AND dst_labe
 
 
 def _aliases(spark: SparkSession, d: str) -> DataFrame:
-    """Aliases by plain lower-cased names."""
+    """Aliases by plain lower-cased names, as the SQL of the graph queries has them."""
     e = read_table(spark, d, "entities").filter(resolution.valid_name(F.col("name"))).select("entity_id", F.trim("name").alias("name"), "type").distinct()
     keyed = e.select(F.lower("name").alias("key"), "name", "type")
     names = keyed.groupBy("key").agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("canonical"))
@@ -290,9 +290,15 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.typed_edges(rows, durable(_aliases(spark, d)))
 
 
+def _resolved_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Typed edges whose ends are resolved through aliases, configuration and merges."""
+    rows = graph.relations(extraction.done_windows(read_table(spark, d, "extractions")))
+    return graph.typed_edges(rows, durable(resolution.merged_aliases(read_table(spark, d, "entities"))), resolution.endpoint_key)
+
+
 @query(_EDGES + " SELECT rel, src_label, src, dst_label, dst, window_id, confidence FROM edges")
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Typed edges with resolved ends, the first of equal ones."""
+    """Typed edges with ends found by their lower-cased names alone (no aliases, no merges), the first of equal ones."""
     return _edges(spark, d).select("rel", "src_label", "src", "dst_label", "dst", "window_id", "confidence")
 
 
@@ -336,15 +342,15 @@ _WEIGHTS = _EDGES + """, w AS (SELECT least(src, dst) AS a, greatest(src, dst) A
 FROM edges WHERE rel IN ('EVALUATES_ON', 'USES', 'PROPOSES', 'BUILDS_ON', 'COMPARES_TO', 'ADDRESSES') AND src_label <> 'Paper' AND dst_label <> 'Paper' AND src <> dst GROUP BY 1, 2)"""
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    thematic = _edges(spark, d).filter(F.col("rel").isin(graph.THEMATIC) & (F.col("src_label") != "Paper") & (F.col("dst_label") != "Paper"))
+def _weights(edges: DataFrame) -> DataFrame:
+    thematic = edges.filter(F.col("rel").isin(graph.THEMATIC) & (F.col("src_label") != "Paper") & (F.col("dst_label") != "Paper"))
     return graph.edge_weights(thematic, "src", "dst", "confidence")
 
 
 @query(_WEIGHTS + " SELECT a, b, round(weight, 6) AS weight FROM w")
 def edge_weights(spark: SparkSession, d: str) -> DataFrame:
     """H1: undirected weights of the thematic edges between named nodes."""
-    return _weights(spark, d).select("a", "b", F.round("weight", 6).alias("weight"))
+    return _weights(_edges(spark, d)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 @query(_WEIGHTS + """, t AS (SELECT sum(weight) AS m FROM w), g AS (SELECT left(a, 1) AS c, weight FROM w UNION ALL SELECT left(b, 1), weight FROM w),
@@ -352,15 +358,15 @@ dg AS (SELECT c, sum(weight) AS deg FROM g GROUP BY 1), i AS (SELECT left(a, 1)
 SELECT round(sum(coalesce(w_in, 0) / m - pow(deg / (2 * m), 2)), 6) AS modularity FROM dg LEFT JOIN i USING (c), t""")
 def modularity(spark: SparkSession, d: str) -> DataFrame:
     """H7: modularity of the partition by first letter."""
-    w = durable(_weights(spark, d))
+    w = durable(_weights(_edges(spark, d)))
     nodes = w.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.left("node", F.lit(1)))
     return graph.modularity(w, nodes).select(F.round("modularity", 6).alias("modularity"))
 
 
 @query()
 def community_members(spark: SparkSession, d: str) -> DataFrame:
-    """H2: communities of the thematic graph."""
-    return communities.detect_communities(_weights(spark, d))
+    """H2: communities of the thematic graph, its ends resolved through aliases and merges."""
+    return communities.detect_communities(_weights(_resolved_edges(spark, d)))
 
 
 _COUNTING, _CORPUS = answering.COUNTING.replace("'", "''"), answering.CORPUS.replace("'", "''")

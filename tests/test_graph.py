@@ -8,6 +8,7 @@ from scriptorium.functions.guard import FORBIDDEN, UnsafeQuery, guarded_sql, str
 from scriptorium.operators import communities, graph, resolution
 from scriptorium.operators.components import connected_components
 from scriptorium.operators.match import Graph
+from scriptorium.plans import reference
 
 
 def test_normal_forms():
@@ -47,6 +48,17 @@ def test_alias_map_and_endpoints(spark):
     assert {r.out for r in resolution.resolve_endpoint(ends, "m", aliases, "out", strict=False).collect()} == {"Dense Passage Retriever", "unknown", ""}
 
 
+def test_communities_are_of_resolved_names(spark, tmp_path):
+    entities = [("Dense Passage Retriever", "Method", ["DPR"]), ("Dense Passage Retrieval", "Method", None), ("Harbor QA", "Dataset", None), ("Tundra", "Dataset", None), ("Nightjar", "Method", None)]
+    spark.createDataFrame(entities, "name string, type string, aliases array<string>").write.parquet(f"{tmp_path}/entities.parquet")
+    said = [("DPR (large)", "EVALUATES_ON", "harbor qa"), ("Dense Passage Retrieval", "EVALUATES_ON", "Harbor QA"), ("dense passage retriever", "USES", "Tundra"), ("Nightjar", "BUILDS_ON", "ghost")]
+    rows = [(1, "w", "p", 0, 9, "ok", None, [(a, r, b, "e", 0.5) for a, r, b in said], None)]
+    spark.createDataFrame(rows, "seq bigint, window_id string, paper_id string, char_start int, char_end int, status string, error string, relations array<struct<subject string, predicate string, object string, evidence string, confidence double>>, logged_at timestamp").write.parquet(f"{tmp_path}/extractions.parquet")
+    edges = reference._resolved_edges(spark, str(tmp_path)).collect()
+    assert sorted((r.src, r.rel, r.dst) for r in edges) == [("Dense Passage Retriever", "EVALUATES_ON", "Harbor QA"), ("Dense Passage Retriever", "USES", "Tundra")]
+    assert {r.node for r in reference.community_members(spark, str(tmp_path)).collect()} == {"Dense Passage Retriever", "Harbor QA", "Tundra"}
+
+
 def test_components(spark):
     edges = [("b", "a"), ("b", "c"), ("d", "e"), ("x", "x"), (None, "a"), ("c", "b")] + [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
