@@ -227,9 +227,8 @@ def valid_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """F1-F8: canonical name of every entity name of the model types."""
-    kinds = ["Method", "Dataset", "Metric", "Task"]
-    names = read_table(spark, d, "entities").filter(F.col("type").isin(kinds)).filter(resolution.valid_name(F.col("name")))
+    """F1-F8: canonical name of every entity name of every type."""
+    names = read_table(spark, d, "entities").filter(resolution.valid_name(F.col("name")))
     return resolution.resolve_entities(names.select("type", F.trim("name").alias("name")))
 
 

@@ -59,6 +59,13 @@ def test_communities_are_of_resolved_names(spark, tmp_path):
     assert {r.node for r in reference.community_members(spark, str(tmp_path)).collect()} == {"Dense Passage Retriever", "Harbor QA", "Tundra"}
 
 
+def test_every_type_is_resolved(spark, data):
+    names = reference.read_table(spark, data, "entities").filter(resolution.valid_name(F.col("name"))).select("type", F.trim("name").alias("name")).filter("type is not null")
+    got = reference.entity_resolution(spark, data)
+    assert {tuple(r) for r in got.select("type", "name").collect()} == {tuple(r) for r in names.collect()}
+    assert {"Author", "Institution"} <= {r.type for r in got.select("type").distinct().collect()}
+
+
 def test_components(spark):
     edges = [("b", "a"), ("b", "c"), ("d", "e"), ("x", "x"), (None, "a"), ("c", "b")] + [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
