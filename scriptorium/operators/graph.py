@@ -1,4 +1,8 @@
-"""Typed property graph with provenance: build, counts, neighbourhoods."""
+"""Typed property graph with provenance: build, counts, neighbourhoods.
+
+Missing: entity nodes with their alias lists (G8), REPORTS edges from results (G10), the build's summary of written and
+dropped (G11), member edges of communities by label priority (H5).
+"""
 
 from __future__ import annotations
 

@@ -304,7 +304,7 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 @query(_EDGES + """ SELECT type AS name, count(*) AS n FROM ac JOIN ak USING (key) GROUP BY 1
 UNION ALL SELECT '-[:' || rel || ']->', count(*) FROM edges GROUP BY 1""")
 def graph_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes of each label and edges of each relation."""
+    """Named nodes of each label and edges of each relation; Paper nodes by id and AUTHORED_BY edges of papers are not among them."""
     return graph.counts(_aliases(spark, d).select(F.col("type").alias("label")), _edges(spark, d))
 
 
