@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.shingling import shingle_hashes, word_hashes
-from scriptorium.sources.tables import BROADCAST_ROWS, broadcast_if_small, durable, spread
+from scriptorium.sources.tables import broadcast_if_small, durable, spread
 
 #: Words of a shingle of the prefix filter.
 SHINGLE_WORDS = 5
 #: Words in a row that make a leak.
 SPAN_WORDS = 12
+#: Distinct held-out shingles (8 bytes each) up to which they are sent to the scan of the corpus.
+SENT_SHINGLES = 200_000
 
 
 def _places(df: DataFrame, key: str, text: str, span: int, shingle: int, wanted: np.ndarray | None) -> DataFrame:
@@ -83,7 +85,7 @@ def leaked_passages(
         pieces.select(F.col("key").alias("item"), "prefix", F.posexplode("around").alias("offset", "window")).filter("window <> 0").distinct()
     )
     shingles = windows.select("prefix").distinct()
-    few = shingles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = shingles.limit(SENT_SHINGLES + 1).count() <= SENT_SHINGLES
     wanted = np.sort(np.array([r[0] for r in shingles.collect()], dtype=np.int64)) if few else None
     places = _places(corpus, corpus_id, corpus_text, span, shingle, wanted)
     if wanted is None:
