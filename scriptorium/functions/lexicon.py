@@ -1,26 +1,26 @@
-"""Spellings of metrics and of units."""
+"""Synonyms of metrics and spellings of units. Misspellings are no part of it: operators reach them by rule."""
 
 from __future__ import annotations
 
-#: Other spellings of the metric entries.
+#: Synonyms of the metric entries.
 METRIC_ALIASES = {
-    "Exact Match": ["em", "em score", "exat match"],
+    "Exact Match": ["em", "em score"],
     "F1": ["f-1", "f1 score"],
     "Macro F1": ["macro-averaged f1", "f1 (macro)"],
-    "Recall@20": ["r@20", "rec@20", "recall at 20", "recal@20"],
-    "Recall@100": ["r@100", "rec@100", "recall at 100", "recal@100"],
+    "Recall@20": ["r@20", "rec@20", "recall at 20"],
+    "Recall@100": ["r@100", "rec@100", "recall at 100"],
     "MRR@10": ["mrr at 10", "mean reciprocal rank @10"],
     "nDCG@10": ["ndcg at 10", "normalized dcg@10"],
-    "Precision@5": ["p@5", "prec@5", "precision at 5", "precison@5"],
-    "Accuracy": ["acc", "accuracy score", "acuracy"],
-    "Faithfulness": ["faithfulness score", "faithfullness"],
+    "Precision@5": ["p@5", "prec@5", "precision at 5"],
+    "Accuracy": ["acc", "accuracy score"],
+    "Faithfulness": ["faithfulness score"],
     "Citation Precision": ["citation prec.", "cite precision", "precision of citations"],
     "Query Latency": ["latency (query)", "qry latency", "latency per query"],
-    "Training Time": ["trainig time", "train time", "time to train"],
+    "Training Time": ["train time", "time to train"],
     "Indexing Time": ["index time", "time for indexing"],
     "Peak Memory": ["peak mem", "memory (peak)"],
     "Index Size": ["idx size", "size of index"],
-    "Throughput": ["thruput", "query throughput", "throughput (queries)"],
+    "Throughput": ["query throughput", "throughput (queries)"],
     "Parameter Count": ["param count", "params", "no. of parameters", "# parameters"],
     "Energy Use": ["energy", "energy usage", "energy used"],
 }

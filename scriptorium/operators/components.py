@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.sources.tables import durable
+from scriptorium.sources.tables import durable, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star rounds on the edge list (Kiveris et al. 2014): the number of rounds grows with
     the logarithm of the component, and no node's whole neighbourhood is collected. Null endpoints and self-loops are
-    ignored, repeated edges count once, an empty list gives no rows. Each round is cut by a durable checkpoint.
+    ignored, repeated edges count once, an empty list gives no rows. Each round is written once, and the table of the
+    round before is deleted.
     """
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
     links = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -26,9 +27,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        fresh = durable(small.distinct())
+        before, links = links, durable(small.distinct())
+        release(before)
         # Done once a round changes nothing: every node then hangs on its component's least node alone.
-        links = durable(small.distinct())
         said = links.agg(digest).first()
         if said == seen:
             break

@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a reference side may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes (measured, uncompressed) up to which a side may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16_000_000
+#: Bytes of a value without a length of its own, and of a row.
+FIXED_BYTES = 8
+#: Where the files of a durable frame lie, kept on the frame.
+_PATH = "_scriptorium_path"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +22,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this session under the cluster's spark.checkpoint.dir; only where that is unset a folder is made."""
+    """A folder of this session under the cluster's spark.checkpoint.dir.
+
+    Only where that is unset, and only on a local master, a folder is made; on a cluster a missing setting is an error.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,28 +37,64 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` written as a table to the shared folder and read back: its lineage ends there, lost executors lose nothing.
 
-    Columnar and compressed, so later stages read only the columns they need. The files go when the driver ends.
+    Columnar and compressed, so later stages read only the columns they need. The files go with `release`, at the latest
+    when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/scriptorium-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it has at most `limit` rows (counted), otherwise unchanged.
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the files of durable frames that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, _PATH, None):
+            place, files = _place(df.sparkSession, path)
+            files.delete(place, True)
+
+
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row: the lengths of its strings and of the text of its nested values, else a fixed size each."""
+    total = F.lit(FIXED_BYTES)
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + FIXED_BYTES
+        elif kind in ("array", "map", "struct"):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + FIXED_BYTES
+        else:
+            total = total + FIXED_BYTES
+    return total.cast("bigint")
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """(`df` as a durable table, its rows, its bytes), by one run of its plan."""
+    seen = Observation()
+    out = durable(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_bytes(df)).alias("bytes")))
+    said = seen.get
+    return out, said["rows"] or 0, said["bytes"] or 0
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """`df` as a durable table, marked for broadcast if its measured bytes are at most `limit` (BROADCAST_BYTES).
 
     Beyond the limit Catalyst and AQE choose a shuffled join, so results never depend on the choice.
     """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    out, _, size = measured(df)
+    return F.broadcast(out) if size <= (BROADCAST_BYTES if limit is None else limit) else out
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
