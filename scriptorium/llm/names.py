@@ -1,13 +1,16 @@
 """Spellings of names typed by people, linked by the person or organisation they name (problem 3).
 
 Every distinct string is read once: its consistent form, titles removed, accents folded, then for a person a surname
-and a given name (full, cut short or an initial), for an organisation its kind and its place. Strings with equal readings
-are one form. Two forms are linked if the ratio of the longest common subsequence reaches its least value on both fields.
-The distinct values of each field are joined with their near values first: values within the ratio share a subsequence of
-a known length, or of a part of the value if it is long, and those are the keys, so no pair is lost. A form then meets another where its first field,
-replaced by a near value, and the other's second field, replaced likewise, are the same; a common name is no block of its own.
-Links are closed to components; forms with only an initial join the component that fits them, the most frequent one if
-several fit.
+and a given name (full, cut short or an initial), for an organisation its proper name and its generic words. Strings with
+equal readings are one form. Suffix blocking finds the forms to compare: every suffix of a field that is long enough is
+indexed by its head, and the head is as long as a common block of two values of these lengths has to be, so no pair within
+the ratio is lost. Heads carry lengths, places and letters, which drop chance meetings before any text is compared. A
+head that more than `COMMON` values share is no block of its own: it is refined by the other field and only forms whose
+other fields are near meet in it; none is discarded. Pairs are kept by the ratio of their longest common subsequences.
+
+Links are closed to components, together with the rows that give an alias to a name. Forms that name no one alone (an
+initial, a cut given name, a proper name or code without generic words) never link others: each joins the entity that
+most rows give it, else, for persons, the nearest that fits, the most frequent one if several do.
 
 Null, blank and collective strings ("et al.") name nobody and have no row.
 """
@@ -17,8 +20,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
 
 import pandas as pd
 import pyarrow as pa
@@ -32,8 +33,8 @@ from scriptorium.sources.tables import durable
 
 #: Letters at the beginning or end that the surname of an initial shares with an entity's.
 MIN_SUFFIX = 4
-#: Most subsequences of a whole value that are its keys; beyond that they are taken of its parts, with as many edits each.
-WHOLE_KEYS, PART_EDITS = 400, 2
+#: Values that share a suffix head up to which it is a block of its own; beyond that the other field refines it.
+COMMON = 2000
 #: Least ratios of the longest common subsequence of the names (surnames, places) and of the second field.
 RATIO_NAME, RATIO_SECOND = 0.85, 0.75
 #: Titles before a name.
@@ -65,15 +66,28 @@ _FORMAL: dict[str, list[str]] = {}
 for _formal, _short in NICKNAMES.items():
     for _s in _short:
         _FORMAL.setdefault(_s, []).append(_formal)
-#: Words that tell the kind of an organisation.
-KIND_WORDS = {
-    "university": "U", "univ": "U", "universitat": "U", "universite": "U", "u": "U", "research": "R", "res": "R", "laboratory": "R",
-    "laboratories": "R", "lab": "R", "labs": "R", "institute": "I", "inst": "I", "technology": "I", "tech": "I", "technol": "I",
-    "national": "N", "nat": "N", "natl": "N", "academy": "N", "acad": "N", "analytics": "A", "analytic": "A", "gmbh": "A",
+#: Generic words of organisations' names.
+GENERIC = [
+    "academy", "agency", "analytics", "association", "bureau", "center", "centre", "clinic", "college", "council", "department",
+    "engineering", "faculty", "foundation", "hospital", "institute", "international", "laboratory", "library", "medicine", "ministry",
+    "museum", "national", "observatory", "polytechnic", "research", "royal", "school", "science", "society", "software", "state",
+    "systems", "technology", "university",
+]
+#: Other forms of generic words.
+GENERIC_FORMS = {
+    "u": "university", "univ": "university", "universitat": "university", "universite": "university", "universidad": "university",
+    "universita": "university", "res": "research", "laboratories": "laboratory", "lab": "laboratory", "labs": "laboratory",
+    "inst": "institute", "institut": "institute", "tech": "technology", "technol": "technology", "technologies": "technology",
+    "nat": "national", "natl": "national", "intl": "international", "acad": "academy", "analytic": "analytics", "coll": "college",
+    "dept": "department", "hosp": "hospital", "assoc": "association", "soc": "society", "sci": "science", "sciences": "science",
+    "eng": "engineering", "sch": "school", "fac": "faculty", "ctr": "center",
+}
+#: Legal forms and words that join others; they tell nothing apart.
+_FILLERS = {
+    "the", "of", "and", "for", "at", "in", "de", "der", "und", "et", "gmbh", "mbh", "ag", "kg", "inc", "ltd", "limited", "llc", "plc", "sa", "srl",
+    "bv", "nv", "oy", "ab", "co", "corp", "corporation", "company",
 }
-_FILLERS = {"the", "of", "and", "for", "at", "in"}
-_ORG_CODE = re.compile(r"^([A-Z][a-z]{4,})(U|RL|IT|NA|A)([A-Z])$")
-_CODE_KIND = {"U": "U", "RL": "R", "IT": "I", "NA": "N", "A": "A"}
+_GENERIC = {**{w: w for w in GENERIC}, **GENERIC_FORMS}
 
 
 def fold(text: str) -> str:
@@ -98,28 +112,22 @@ def lcs_ratio(a: str, b: str) -> float:
 
 
 def read_organisation(text: str) -> tuple[str, str] | None:
-    """(kind, place) of an organisation's name; a code such as a place cut short plus initials keeps its form."""
-    clean = canonical(text).strip()
-    if code := _ORG_CODE.match(clean):
-        return _CODE_KIND[code[2]], f"{code[1].lower()}*{code[3].lower()}"
-    words = re.findall(r"[^\W\d_]+", fold(clean.replace(".m.b.H.", "mbH").replace(".M.B.H.", "MBH").replace(".m.b.h.", "mbh")))
-    kinds: list[str] = []
-    place: list[str] = []
-    for word in words:
+    """(generic words, proper name) of an organisation's name; without generic words the first is empty."""
+    clean = re.sub(r"\b(?:[^\W\d_]\.){2,}", lambda m: m[0].replace(".", ""), canonical(text).strip())
+    generic: set[str] = set()
+    proper: list[str] = []
+    for word in re.findall(r"[^\W\d_]+", fold(clean)):
         if word in _FILLERS:
             continue
-        kind = KIND_WORDS.get(word)
-        if kind is None and len(word) >= 4:
-            near = max(KIND_WORDS, key=lambda w: lcs_ratio(word, w))
-            if lcs_ratio(word, near) >= 0.8:
-                kind = KIND_WORDS[near]
-        if kind:
-            kinds.append(kind)
+        known = _GENERIC.get(word)
+        if known is None and len(word) >= 4:
+            near = max(_GENERIC, key=lambda w: lcs_ratio(word, w))
+            known = _GENERIC[near] if lcs_ratio(word, near) >= 0.8 else None
+        if known:
+            generic.add(known)
         elif len(word) > 1:
-            place.append(word)
-    if not place:
-        return None
-    return (max(sorted(set(kinds)), key=kinds.count) if kinds else "?"), "".join(place)
+            proper.append(word)
+    return (" ".join(sorted(generic)), "".join(proper)) if proper else None
 
 
 def split_person(text: str) -> tuple[list[str], list[str]] | None:
@@ -166,77 +174,91 @@ def read_person(first: list[str], rest: list[str], given_score) -> tuple[str, st
     if len(whole) >= 2:
         a, b = whole[0], whole[-1]
         return (a, b) if given_score(b) > given_score(a) else (b, a)
-    if len(whole) == 1 and short:
-        longest = max(short, key=len)
-        return whole[0], longest
+    if len(whole) == 1:
+        return whole[0], max(short, key=len, default=".")
     return None
 
 
-def _shorter(text: str, less: int) -> set[str]:
-    """`text` without any `less` of its letters."""
-    return {"".join(c) for c in combinations(text, len(text) - less)}
-
-
-def _edits(n: int, m: int, ratio: float) -> tuple[int, int] | None:
-    """(letters that lengths n and m may leave unmatched) within the ratio; None if no such pair can reach it."""
+def _unmatched(n: int, m: int, ratio: float) -> tuple[int, int] | None:
+    """(letters that values of lengths n and m may leave unmatched) within the ratio; None if no such pair reaches it."""
     least = next((x for x in range(min(n, m) + 1) if 2 * x / (n + m) >= ratio), None)
     return None if least is None else (n - least, m - least)
 
 
-def near_keys(text: str, ratio: float) -> Iterator[tuple[bool, str]]:
-    """(is the shorter of a pair, key) such that two different values of at least the ratio share a key in opposite roles.
+def suffix_heads(text: str, ratio: float) -> Iterator[tuple[str, bool, int, int, int]]:
+    """(key, is the shorter, place, i, j) of the heads of all suffixes, for each length a near value may have.
 
-    The lengths n <= m of a pair bound its unmatched letters. While there are few, its keys are the common subsequences
-    of the least length; else the shorter value is cut into parts of which one has at most PART_EDITS edits, and the
-    other value tries each place that part may stand at.
+    The unmatched letters i and j of a pair cut its common subsequence into at most i + j + 1 blocks, so one block has at
+    least that share of its letters, and the suffixes that begin with it have the same head. Its places in the two
+    values differ by at most i one way and j the other. Equal values need no key.
     """
     size = len(text)
     for other in range(1, int(size * (2 - ratio) / ratio) + 2):
-        for role in {size <= other, not size >= other}:
-            n, m = (size, other) if role else (other, size)
-            edits = _edits(n, m, ratio)
-            if edits is None or not sum(edits):
-                continue
-            i, j = edits
-            if max(comb(n, i), comb(m, j)) <= WHOLE_KEYS:
-                for said in _shorter(text, i if role else j):
-                    yield role, f"{n} {m} {said}"
-                continue
-            parts = (i + j) // (PART_EDITS + 1) + 1
-            most = (i + j) // parts
-            for p in range(parts):
-                start, end = n * p // parts, n * (p + 1) // parts
-                for x in range(min(most, i, end - start) + 1):
-                    if role:
-                        found = _shorter(text[start:end], x)
-                    else:
-                        found = set()
-                        for y in range(min(most - x, j) + 1):
-                            length = end - start - x + y
-                            places = [0] if p == 0 else [m - length] if p == parts - 1 else range(max(0, start - i), min(start + j, m - length) + 1)
-                            for at in places:
-                                if at >= 0 and at + length <= m:
-                                    found |= _shorter(text[at : at + length], y)
-                    for said in found:
-                        yield role, f"{n} {m} {p} {said}"
-
-
-def near_values(values: DataFrame, ratio: float) -> DataFrame:
-    """(kind, x, y): all ordered pairs of distinct values (kind, x) of one kind with at least the ratio, equal ones included."""
-
-    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        kinds, texts = (c.to_pylist() for c in batch.columns)
-        rows = [(kind, x, role, key) for kind, x in zip(kinds, texts) for role, key in set(near_keys(x, ratio))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.string(), pa.string(), pa.bool_(), pa.string()])], names=["kind", "x", "role", "key"])
-
-    keyed = _map(values.select("kind", "x"), keys, "kind string, x string, role boolean, key string")
-    keyed = durable(keyed.select("kind", "x", "role", F.xxhash64("kind", "key").alias("key")))
-    longer = keyed.filter("not role").select(F.col("kind").alias("kind_y"), F.col("x").alias("y"), "key")
-    # Lengths stand in the key: a value of equal length has both roles, so its pairs are met twice and kept once.
-    pairs = keyed.filter("role").join(longer, "key").filter("kind = kind_y and x <> y").select("kind", "x", "y").distinct()
-    one = durable(pairs.filter(_ratio()("x", "y") >= ratio))
-    both = one.unionByName(one.select("kind", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    return both.unionByName(values.select("kind", "x", F.col("x").alias("y")))
+        lo, hi = min(size, other), max(size, other)
+        unmatched = _unmatched(lo, hi, ratio)
+        if unmatched is None or not sum(unmatched):
+            continue
+        i, j = unmatched
+        long = -(-(lo - i) // (i + j + 1))
+        for at in range(size - long + 1):
+            for shorter in {size == lo, size != hi}:
+                yield f"{lo} {hi} {text[at : at + long]}", shorter, at, i, j
+
+
+def letters(text: str) -> int:
+    """A 63-bit set of the letters, each with its number: two sets differ in at most the unmatched letters of a pair."""
+    seen: dict[str, int] = {}
+    out = 0
+    for char in text:
+        seen[char] = seen.get(char, 0) + 1
+        out |= 1 << (ord(char) * 7 + seen[char] * 29) % 63
+    return out
+
+
+def _heads(values: DataFrame) -> DataFrame:
+    """(kind, x, key, shorter, at, i, j, letters) of distinct values (kind, x); a kind ends in the number of its field."""
+
+    def heads(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for kind, x in zip(*(c.to_pylist() for c in batch.columns)):
+            said = letters(x)
+            rows += [(kind, x, *head, said) for head in set(suffix_heads(x, RATIO_NAME if kind[-1] == "1" else RATIO_SECOND))]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int16(), pa.int16(), pa.int16(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=["kind", "x", "key", "shorter", "at", "i", "j", "letters"])
+
+    schema = "kind string, x string, key string, shorter boolean, at smallint, i smallint, j smallint, letters bigint"
+    return _map(values.select("kind", "x"), heads, schema).withColumn("key", F.xxhash64("kind", "key"))
+
+
+def _may_be_near() -> Column:
+    """Whether a shorter value and a longer one (`y`, `at_y`, `letters_y`) that share a head can reach the ratio."""
+    unmatched = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_y"))) <= F.col("i") + F.col("j")
+    return (F.col("at_y") - F.col("at")).between(-F.col("i"), F.col("j")) & unmatched & (F.col("x") != F.col("y"))
+
+
+def _longer(heads: DataFrame, *more: str) -> DataFrame:
+    return heads.filter("not shorter").select("key", F.col("x").alias("y"), F.col("at").alias("at_y"), F.col("letters").alias("letters_y"), *more)
+
+
+def near_values(values: DataFrame, common: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(near, hot): near is (kind, x, y), all ordered pairs of distinct values (kind, x) within the ratio, equal ones too.
+
+    Heads of first fields that more than `common` values share make no pairs; they are returned as `hot`, None if there
+    are none.
+    """
+    heads = durable(_heads(values))
+    sizes = heads.filter(F.col("kind").endswith("1")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > (COMMON if common is None else common))
+    crowded = durable(sizes.select("key"))
+    hot = None
+    cool = heads
+    if not crowded.isEmpty():
+        hot = heads.join(crowded, "key", "left_semi")
+        cool = heads.join(crowded, "key", "left_anti")
+    met = cool.filter("shorter").join(_longer(cool), "key").filter(_may_be_near())
+    pairs = met.select("kind", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    one = pairs.filter(_ratio()("x", "y") >= F.when(F.col("kind").endswith("1"), RATIO_NAME).otherwise(RATIO_SECOND))
+    one = one.withColumn("both", F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))).select("kind", "both.x", "both.y")
+    return durable(one.unionByName(values.select("kind", "x", F.col("x").alias("y")))), hot
 
 
 def _ratio():
@@ -246,17 +268,27 @@ def _ratio():
     return F.pandas_udf(ratio, DoubleType())
 
 
-def link_forms(forms: DataFrame) -> DataFrame:
+def link_forms(forms: DataFrame, common: int | None = None) -> DataFrame:
     """Distinct links (a, b) of `forms` (form, x1, x2): all pairs whose fields x1 and x2 reach their ratios.
 
-    The first letter of a form is its kind; forms of different kinds never meet.
+    The first letter of a form is its kind; forms of different kinds never meet. The result does not depend on `common`.
     """
     typed = durable(forms.select("form", F.left("form", F.lit(1)).alias("kind"), "x1", "x2").filter("x1 <> '' and x2 <> ''").distinct())
-    near = lambda c, ratio: durable(near_values(typed.select("kind", F.col(c).alias("x")).distinct(), ratio))
-    first, second = near("x1", RATIO_NAME), near("x2", RATIO_SECOND)
-    left = typed.join(first.select("kind", F.col("x").alias("x1"), "y"), ["kind", "x1"]).select("kind", F.col("form").alias("a"), F.col("y").alias("k1"), F.col("x2").alias("k2"))
-    right = typed.join(second.select("kind", F.col("x").alias("x2"), "y"), ["kind", "x2"]).select("kind", F.col("form").alias("b"), F.col("x1").alias("k1"), F.col("y").alias("k2"))
-    return left.join(right, ["kind", "k1", "k2"]).filter("a < b").select("a", "b")
+    fields = F.explode(F.array(*[F.struct(F.concat("kind", F.lit(str(n))).alias("kind"), F.col(f"x{n}").alias("x")) for n in (1, 2)]))
+    near, hot = near_values(durable(typed.select(fields.alias("v")).select("v.*").distinct()), common)
+    side = lambda n: near.filter(F.col("kind").endswith(str(n))).select(F.left("kind", F.lit(1)).alias("kind"), F.col("x").alias(f"x{n}"), "y")
+    left = typed.join(side(1), ["kind", "x1"]).select("kind", F.col("form").alias("a"), F.col("y").alias("k1"), F.col("x2").alias("k2"))
+    right = typed.join(side(2), ["kind", "x2"]).select("kind", F.col("form").alias("b"), F.col("x1").alias("k1"), F.col("y").alias("k2"))
+    links = left.join(right, ["kind", "k1", "k2"]).filter("a < b").select("a", "b")
+    if hot is None:
+        return links
+    # Forms meet in a common head of their first fields where their second fields are near.
+    held = typed.join(hot.select(F.left("kind", F.lit(1)).alias("kind"), F.col("x").alias("x1"), "key", "shorter", "at", "i", "j", "letters"), ["kind", "x1"])
+    held = held.withColumnRenamed("x1", "x")
+    here = held.filter("shorter").join(side(2), ["kind", "x2"]).withColumnRenamed("y", "second").withColumnRenamed("form", "a")
+    there = _longer(held.withColumn("b", F.col("form")), "b", F.col("x2").alias("second"))
+    met = here.join(there, ["key", "second"]).filter(_may_be_near()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y").distinct()
+    return links.unionByName(met.filter(_ratio()("x", "y") >= RATIO_NAME).select("a", "b")).distinct()
 
 
 def _map(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -313,86 +345,70 @@ def person_forms(strings: DataFrame) -> DataFrame:
 
 
 def organisation_forms(strings: DataFrame) -> DataFrame:
-    """(s, place, kind) of the strings (s) that name an organisation."""
+    """(s, proper, generic) of the strings (s) that name an organisation."""
 
     def read(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = [(s, got[1], got[0]) for s, got in ((s, read_organisation(s)) for s in batch.column(0).to_pylist()) if got]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 3)], names=["s", "place", "kind"])
-
-    return _map(strings.select("s"), read, "s string, place string, kind string")
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 3)], names=["s", "proper", "generic"])
 
-
-def _close(forms: DataFrame, links: DataFrame) -> DataFrame:
-    """(form, entity): components of the links, single forms included."""
-    nodes = connected_components(links)
-    return forms.join(nodes, forms.form == nodes.node, "left").select("form", F.coalesce("component", "form").alias("entity"))
+    return _map(strings.select("s"), read, "s string, proper string, generic string")
 
 
-def link_names(people: DataFrame | None, organisations: DataFrame | None) -> DataFrame:
+def link_names(people: DataFrame | None, organisations: DataFrame | None, aliases: DataFrame | None = None) -> DataFrame:
     """(s, entity) of strings (s, n) of persons and of organisations, n being how often the string stands.
 
-    Both kinds are linked and closed in one pass; either may be None.
+    Both kinds are linked and closed in one pass; either may be None. `aliases` has (kind, name, alias), kind being P or
+    O: the rows that give an alias to a name, as often as they stand; null sides are ignored.
     """
-    read, full, short = [], [], []
+    parts = []
     if people is not None:
-        form = F.concat_ws(" ", F.lit("P"), "surname", "given")
-        named = durable(person_forms(people).join(people, "s").withColumn("form", form))
-        forms = named.groupBy("form", "surname", "given").agg(F.sum("n").alias("n"))
-        forms = forms.select("form", F.col("surname").alias("x1"), F.col("given").alias("x2"), "n")
-        read.append(named.select("s", "form"))
-        full.append(forms.filter(~F.col("x2").endswith(".")))
-        short.append((_fit_initials, forms.filter(F.col("x2").endswith("."))))
+        read = person_forms(people).select("s", F.lit("P").alias("kind"), F.col("surname").alias("x1"), F.col("given").alias("x2"))
+        parts.append(read.join(people, "s"))
     if organisations is not None:
-        form = F.concat_ws(" ", F.lit("O"), "kind", "place")
-        named = durable(organisation_forms(organisations).join(organisations, "s").withColumn("form", form))
-        forms = named.groupBy("form", "kind", "place").agg(F.sum("n").alias("n"))
-        forms = forms.select("form", F.col("place").alias("x1"), F.col("kind").alias("x2"), "n")
-        read.append(named.select("s", "form"))
-        full.append(forms.filter(~F.col("x1").contains("*")))
-        short.append((_fit_codes, forms.filter(F.col("x1").contains("*"))))
-    whole = durable(_union(full))
-    nodes = connected_components(link_forms(whole.select("form", "x1", "x2")))
-    entities = durable(
-        whole.join(nodes, whole.form == nodes.node, "left").select("form", "x1", "x2", "n", F.coalesce("component", "form").alias("entity"))
-    )
-    every = [entities.select("form", "entity"), *(fit(rows, entities) for fit, rows in short)]
-    return _union(read).join(_union(every), "form").select("s", "entity")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+        read = organisation_forms(organisations).select("s", F.lit("O").alias("kind"), F.col("proper").alias("x1"), F.col("generic").alias("x2"))
+        parts.append(read.join(organisations, "s"))
+    named = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    named = durable(named.select("s", F.concat_ws(" ", "kind", "x2", "x1").alias("form"), "x1", "x2", (F.col("x2").endswith(".") | (F.col("x2") == "")).alias("short"), "n"))
+    forms = durable(named.groupBy("form", "x1", "x2", "short").agg(F.sum("n").alias("n")))
+    links, rows = link_forms(forms.filter("not short").select("form", "x1", "x2")), None
+    if aliases is not None:
+        side = lambda name: named.select(F.left("form", F.lit(1)).alias("kind"), F.col("s").alias(name), F.col("form").alias(f"{name}_form"), F.col("short").alias(f"{name}_short"))
+        given = aliases.filter("name is not null and alias is not null").groupBy("kind", "name", "alias").agg(F.count(F.lit(1)).alias("times"))
+        rows = given.join(side("name"), ["kind", "name"]).join(side("alias"), ["kind", "alias"]).filter("name_form <> alias_form and not (name_short and alias_short)")
+        rows = durable(rows.groupBy("name_form", "name_short", "alias_form", "alias_short").agg(F.sum("times").alias("times")))
+        links = links.unionByName(rows.filter("not name_short and not alias_short").select(F.col("name_form").alias("a"), F.col("alias_form").alias("b")))
+    nodes = connected_components(links)
+    entities = forms.filter("not short").join(nodes, F.col("form") == F.col("node"), "left").select("form", "x1", "x2", "n", F.coalesce("component", "form").alias("entity"))
+    entities = durable(entities)
+    every = entities.select("form", "entity").unionByName(_attach(forms.filter("short"), entities, rows))
+    return named.select("s", "form").join(every, "form").select("s", "entity")
 
 
-def _fit_initials(short: DataFrame, entities: DataFrame) -> DataFrame:
-    """(form, entity) of forms whose given name is an initial or cut short.
+def _attach(short: DataFrame, entities: DataFrame, rows: DataFrame | None) -> DataFrame:
+    """(form, entity) of the forms that name no one alone.
 
-    The entity's given name has to begin with what is left, its surname to be near (a common suffix or beginning); of
-    several entities the nearest, then the most frequent. Forms that fit none share an entity by surname and initial.
+    The entity that most rows give the form comes first. Else a person's given name has to begin with what is left, and
+    the surname to be near (a common suffix or beginning); of several persons the nearest, then the most frequent.
+    Persons that fit none share an entity by surname and initial; other forms are their own entity.
     """
+    weights = entities.groupBy("entity").agg(F.sum("n").alias("weight"))
     own = entities.filter("startswith(form, 'P')")
-    weights = own.groupBy("entity").agg(F.sum("n").alias("weight"))
     ends = F.array_distinct(F.array(F.right("x1", F.lit(MIN_SUFFIX)), F.concat(F.lit("^"), F.left("x1", F.lit(MIN_SUFFIX)))))
-    cut = short.select("form", "x1", F.expr("left(x2, length(x2) - 1)").alias("stem"), F.left("x2", F.lit(1)).alias("initial"), F.explode(ends).alias("block"))
+    people = short.filter("startswith(form, 'P') and x2 <> '.'")
+    cut = people.select("form", "x1", F.expr("left(x2, length(x2) - 1)").alias("stem"), F.left("x2", F.lit(1)).alias("initial"), F.explode(ends).alias("block"))
     full = own.select(F.col("x1").alias("y1"), F.col("x2").alias("given"), "entity", F.left("x2", F.lit(1)).alias("initial"), F.explode(ends).alias("block")).distinct()
     fits = cut.join(full, ["block", "initial"]).filter(F.expr("startswith(given, stem)")).join(weights, "entity")
-    fits = fits.withColumn("near", _ratio()("x1", "y1")).filter(F.col("near") >= RATIO_NAME)
-    best = fits.groupBy("form").agg(F.max_by("entity", F.struct("near", "weight", "entity")).alias("best"))
-    alone = F.concat_ws(" ", F.lit("P"), "x1", F.concat(F.lit("~"), F.left("x2", F.lit(1))))
+    fits = fits.withColumn("near", _ratio()("x1", "y1")).filter(F.col("near") >= RATIO_NAME).select("form", "entity", F.lit(0).cast("bigint").alias("times"), "near", "weight")
+    if rows is not None:
+        said = rows.filter("alias_short").select(F.col("alias_form").alias("form"), F.col("name_form").alias("other"), "times")
+        said = said.unionByName(rows.filter("name_short").select(F.col("name_form").alias("form"), F.col("alias_form").alias("other"), "times"))
+        told = said.join(entities.select(F.col("form").alias("other"), "entity"), "other").groupBy("form", "entity").agg(F.sum("times").alias("times"))
+        fits = fits.unionByName(told.join(weights, "entity").select("form", "entity", "times", F.lit(1.0).alias("near"), "weight"))
+    best = fits.groupBy("form").agg(F.max_by("entity", F.struct("times", "near", "weight", "entity")).alias("best"))
+    alone = F.when(F.expr("startswith(form, 'P') and x2 <> '.'"), F.concat_ws(" ", F.lit("P"), "x1", F.concat(F.lit("~"), F.left("x2", F.lit(1))))).otherwise(F.col("form"))
     return short.join(best, "form", "left").select("form", F.coalesce("best", alone).alias("entity"))
 
 
-def _fit_codes(codes: DataFrame, entities: DataFrame) -> DataFrame:
-    """(form, entity) of codes: the beginning of a place, its last letter and the kind tell the entity."""
-    own = entities.filter("startswith(form, 'O')").select("entity", "x2", "x1", F.right("x1", F.lit(1)).alias("last"))
-    own = own.select("entity", "x2", "last", F.explode(F.transform(F.sequence(F.lit(5), F.lit(9)), lambda n: F.left("x1", n))).alias("stem"))
-    typed = codes.select("form", "x2", F.substring_index("x1", "*", 1).alias("stem"), F.substring_index("x1", "*", -1).alias("last"))
-    found = typed.join(own, ["x2", "stem", "last"]).groupBy("form").agg(F.min("entity").alias("found"))
-    return codes.join(found, "form", "left").select("form", F.coalesce("found", "form").alias("entity"))
-
-
 def link_persons(strings: DataFrame) -> DataFrame:
     """(s, entity) of strings (s, n) of persons."""
     return link_names(strings, None)
@@ -405,5 +421,6 @@ def link_organisations(strings: DataFrame) -> DataFrame:
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
     """Distinct (name_a, name_b), name_a before name_b by bytes, of the different strings of each entity."""
+    linked = durable(linked.distinct())
     a, b = linked.select("entity", F.col("s").alias("name_a")), linked.select("entity", F.col("s").alias("name_b"))
     return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b").distinct()

@@ -93,11 +93,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of spellings of one person or one organisation."""
-    authors = read_table(spark, sf_dir, "papers").select(F.lit("Author").alias("type"), F.explode("authors").alias("s"))
-    entities = read_table(spark, sf_dir, "entities").filter(F.col("type").isin("Author", "Institution"))
-    typed = entities.select("type", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("s"))
-    strings = authors.unionByName(typed).filter("s is not null").groupBy("type", "s").agg(F.count(F.lit(1)).alias("n"))
-    linked = names.link_names(strings.filter("type = 'Author'").select("s", "n"), strings.filter("type = 'Institution'").select("s", "n"))
+    authors = read_table(spark, sf_dir, "papers").select(F.lit("P").alias("kind"), F.explode("authors").alias("s"))
+    kind = F.when(F.col("type") == "Author", "P").otherwise("O").alias("kind")
+    entities = read_table(spark, sf_dir, "entities").filter(F.col("type").isin("Author", "Institution")).select(kind, "name", "aliases")
+    typed = entities.select("kind", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("s"))
+    strings = authors.unionByName(typed).filter("s is not null").groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"))
+    aliases = entities.select("kind", "name", F.explode("aliases").alias("alias"))
+    linked = names.link_names(strings.filter("kind = 'P'").select("s", "n"), strings.filter("kind = 'O'").select("s", "n"), aliases)
     return names.spelling_pairs(linked)
 
 
