@@ -4,13 +4,14 @@ A text is the set of its word shingles. For each of `bands` hash orders the smal
 fingerprint segment: the very smallest is the anchor, the next `SEGMENT` ones set bits of a 23-bit vector. The binary
 Golay code is perfect: every vector lies within three errors of exactly one codeword. A segment is decoded together
 with its 23 neighbours, which gives one or six codeword indices, and two segments with at most two differing bits
-always share one of them. A key is (band, anchor, codeword index). Since the differing shingles of two similar sets are
+always share one of them. A key is (anchor, codeword index). Since the differing shingles of two similar sets are
 spread over all segments, by the pigeonhole principle some segments keep at most two errors; pairs meet in their keys
-and are verified by their exact similarity. Four bits of each of `SKETCH` anchors travel with a key, so pairs that only
-share a common phrase are dropped where they meet, before they are shuffled.
+and are verified by their exact similarity. Four bits of each of `SKETCH` anchors travel with a segment, so pairs that
+only share a common phrase are dropped where they meet.
 
-Texts with equal shingle sets are one class from the start and are never paired with each other by keys. A key that
-more than `HOT_KEY` classes share is refined by the keys of the other half of the bands instead of being paired at once.
+Segments are shuffled by their anchor, undecoded; the keys of an anchor are decoded and joined where its segments lie.
+Texts with equal shingle sets are one class from the start. An anchor that more than `HOT_ANCHOR` classes share makes no
+keys: its classes are joined by the rarest shingles that no similar pair can avoid (a prefix filter), which is exact.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scriptorium.functions.shingling import mix, shingle_hashes, word_hashes
-from scriptorium.sources.tables import durable, spread
+from scriptorium.sources.tables import broadcast_if_small, durable, release, spread
 
 #: Defaults; a query may state others.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -34,8 +36,10 @@ BANDS = 24
 SKETCH = 32
 #: Shingles that set the bits of a segment.
 SEGMENT = 7
-#: Classes that share a key up to which they are paired at once.
-HOT_KEY = 500
+#: Classes that share an anchor up to which its keys are joined; beyond it they meet in their rarest shingles.
+HOT_ANCHOR = 50_000
+#: Rows and pairs that a task holds at once.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 2_000_000
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
 
@@ -88,132 +92,180 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.bitwise_or.reduce(nibbles.reshape(len(sets), 2, 16), axis=2).view(np.int64)
 
 
-def fingerprint_keys(sets: list[np.ndarray], bands: int, first_band: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit key) of each shingle set: its anchored fuzzy keys of all bands."""
+def segments(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, 23-bit vector) of every set in every band, as matrices."""
     take = SEGMENT + 1
-    seeds = _seeds(first_band, bands)
+    seeds = _seeds(0, bands)
     anchors = np.empty((len(sets), bands), dtype=np.uint64)
-    vectors = np.zeros((len(sets), bands), dtype=np.int64)
+    vectors = np.zeros((len(sets), bands), dtype=np.int32)
     for row, items in enumerate(sets):
         hashed = mix(items.view(np.uint64)[None, :] ^ seeds[:, None])
         if hashed.shape[1] > take:
             hashed = np.partition(hashed, take - 1, axis=1)[:, :take]
         hashed.sort(axis=1)
         anchors[row] = hashed[:, 0]
-        bits = np.int64(1) << (hashed[:, 1:] % np.uint64(23)).astype(np.int64)
+        bits = np.int32(1) << (hashed[:, 1:] % np.uint64(23)).astype(np.int32)
         vectors[row] = np.bitwise_or.reduce(bits, axis=1) if bits.shape[1] else 0
-    flat, index = golay_keys(vectors.ravel())
-    keys = mix(anchors.ravel()[flat] ^ (index.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return flat // bands, keys.view(np.int64)
+    return anchors.view(np.int64), vectors
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, shingle_words: int, least_words: int) -> DataFrame:
-    """(member, class, set): sorted distinct shingle hashes of each text of at least `least_words` words.
+_SET_COLUMNS = "n int, s0 bigint, s1 bigint, anchors array<bigint>, vectors array<int>, `set` array<bigint>"
 
-    `class` is a 64-bit digest of the set. Null texts and shorter ones have no row.
+
+def shingle_sets(df: DataFrame, key: str, text: str, shingle_words: int, least_words: int, bands: int) -> DataFrame:
+    """(member, class, n, s0, s1, anchors, vectors, set) of each text of at least `least_words` words.
+
+    `set` has the sorted distinct shingle hashes, n their number, s0 and s1 their sketch; `class` is a 64-bit digest of
+    the set. Null texts and shorter ones have no row.
     """
     least = max(least_words, shingle_words)
     narrow = df.select(F.col(key).alias("member"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     kind = narrow.schema["member"].dataType.simpleString()
+    names = ["member", "n", "s0", "s1", "anchors", "vectors", "set"]
+
+    def lists(flat: np.ndarray, sizes: list[int]) -> pa.ListArray:
+        offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, kept = [], []
-            for row, value in enumerate(batch.column(1).to_pylist()):
-                words = word_hashes(value)
-                if len(words) >= least:
-                    kept.append(row)
-                    sets.append(np.unique(shingle_hashes(words, shingle_words).view(np.int64)))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets], dtype=np.int64))).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            members = batch.column(0).take(pa.array(kept, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([members, lists], names=["member", "set"])
-
-    sets = spread(narrow, "member").mapInArrow(run, f"member {kind}, `set` array<bigint>")
-    return sets.select("member", F.xxhash64("set").alias("class"), "set")
-
+            for lo in range(0, batch.num_rows, 2000):
+                sets, kept = [], []
+                for row, value in enumerate(batch.column(1).slice(lo, 2000).to_pylist()):
+                    words = word_hashes(value)
+                    if len(words) >= least:
+                        kept.append(lo + row)
+                        sets.append(np.unique(shingle_hashes(words, shingle_words).view(np.int64)))
+                if not sets:
+                    continue
+                anchors, vectors = segments(sets, bands)
+                sketch, sizes = sketches(sets), [len(x) for x in sets]
+                columns = [batch.column(0).take(pa.array(kept, type=pa.int32())), pa.array(sizes, pa.int32()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])]
+                columns += [lists(anchors.ravel(), [bands] * len(sets)), lists(vectors.ravel(), [bands] * len(sets)), lists(np.concatenate(sets), sizes)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return spread(narrow, "member").mapInArrow(run, f"member {kind}, {_SET_COLUMNS}").withColumn("class", F.xxhash64("set"))
+
+
+def _equal_nibbles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of equal groups of four bits of two arrays of 64-bit integers."""
+    differ = (x ^ y).view(np.uint64)
+    differ |= differ >> np.uint64(1)
+    differ |= differ >> np.uint64(2)
+    return 16 - np.bitwise_count(differ & np.uint64(0x1111111111111111)).astype(np.int64)
+
+
+def _met(anchor: np.ndarray, owner: np.ndarray, vector: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Candidate pairs (two columns) of segments sorted by anchor that share a key of their anchor."""
+    group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
+    shared = np.bincount(group)[group] > 1
+    if not shared.any():
+        return
+    group, owner, vector, n, sketch = group[shared], owner[shared], vector[shared], n[shared], sketch[shared]
+    rows, index = golay_keys(vector)
+    keys = group[rows] << 12 | index.astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    rows, keys = rows[order], keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    last = np.repeat(np.r_[first[1:], len(keys)], np.diff(np.r_[first, len(keys)]))
+    partners = last - np.arange(len(keys)) - 1
+    total, least, lo = np.cumsum(partners), least_sketch(similarity), 0
+    while lo < len(keys):
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + PAIRS_AT_ONCE, side="right")))
+        count = partners[lo:hi]
+        left = np.repeat(np.arange(lo, hi), count)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+        a, b = rows[left], rows[right]
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        close = (small >= np.ceil(similarity * large - 1e-9)) & (owner[a] != owner[b])
+        a, b = a[close], b[close]
+        near = _equal_nibbles(sketch[a, 0], sketch[b, 0]) + _equal_nibbles(sketch[a, 1], sketch[b, 1]) >= least
+        x, y = owner[a[near]], owner[b[near]]
+        if len(x):
+            yield np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+        lo = hi
+
+
+def _key_pairs(parts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of segments (anchor, class, vector, n, s0, s1) that share a key and whose sketches are near.
+
+    Segments lie sorted by their anchor; a task holds whole anchors, at most HOT_ANCHOR segments more than ROWS_AT_ONCE.
+    """
 
-def _keys(classes: DataFrame, bands: int, first_band: int = 0) -> DataFrame:
-    """(key, class, n, s0, s1) of classes (class, set); n is the size of the set, s0 and s1 are its sketch."""
+    def pairs(held: list[pa.RecordBatch], end: bool) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        anchor, owner, vector, n, s0, s1 = (table.column(i).to_numpy() for i in range(6))
+        upto = len(anchor) if end else int(np.searchsorted(anchor, anchor[-1]))
+        out = []
+        if upto:
+            for met in _met(anchor[:upto], owner[:upto], vector[:upto].astype(np.int64), n[:upto], np.stack((s0[:upto], s1[:upto]), axis=1), similarity):
+                out.append(pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], names=["a", "b"]))
+        return out, table.slice(upto).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                lists = part.column(1)
-                offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-                sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                rows, keys = fingerprint_keys(sets, bands, first_band)
-                sizes, sketch = np.diff(offsets).astype(np.int32), sketches(sets)
-                columns = [pa.array(keys), part.column(0).take(pa.array(rows))]
-                columns += [pa.array(x[rows]) for x in (sizes, sketch[:, 0], sketch[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "class", "n", "s0", "s1"])
-
-    return classes.select("class", "set").mapInArrow(run, "key bigint, class bigint, n int, s0 bigint, s1 bigint")
-
-
-def _equal_anchors(x: Column, y: Column) -> Column:
-    """Number of equal groups of four bits of two 64-bit integers."""
-    differ = x.bitwiseXOR(y)
-    differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
-    differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 2))
-    return F.lit(16) - F.bit_count(differ.bitwiseAND(F.lit(0x1111111111111111)))
-
-
-def _meet(keys: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a key and whose sizes allow the similarity."""
-    a = keys.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    b = keys.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-    close = (
-        (F.col("a") < F.col("b"))
-        & (F.least("na", "nb") >= F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9))
-        & (_equal_anchors(F.col("a0"), F.col("b0")) + _equal_anchors(F.col("a1"), F.col("b1")) >= least_sketch(similarity))
-    )
-    return a.join(b, "key").filter(close).select("a", "b").distinct()
-
-
-def candidates(classes: DataFrame, similarity: float, bands: int = BANDS, hot: int = HOT_KEY) -> DataFrame:
-    """Distinct candidate pairs (a, b) of classes (class, set)."""
-    keys = durable(_keys(classes, bands))
-    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
-    busy = busy.select("key", (F.col("c") > hot).alias("hot"))
-    shared = durable(keys.join(busy, "key"))
-    pairs = _meet(shared.filter(~F.col("hot")), similarity)
-    crowded = shared.filter("hot")
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
+                out, held = pairs(held, False)
+                yield from out
+        if sum(b.num_rows for b in held):
+            yield from pairs(held, True)[0]
+
+    ordered = parts.select("anchor", "class", "vector", "n", "s0", "s1").repartition("anchor").sortWithinPartitions("anchor")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
+
+
+def prefix_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of all classes (class, n, set) that may have the similarity: none that has it is left out.
+
+    Shingles are ordered by rarity; a pair of the similarity has one in common among the first n - ceil(similarity n) + 1
+    of both, with enough left behind it on both sides.
+    """
+    said = classes.select("class", "n", F.explode("set").alias("shingle"))
+    counts = said.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
+    ranked = said.join(counts, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("class").orderBy("c", "shingle")))
+    least = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    keys = ranked.filter((F.col("at") <= F.col("n") - least + 1) & (F.col("c") > 1)).select("class", "n", "shingle", "at")
+    side = lambda x: keys.select("shingle", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
+    common = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
+    fits = (F.least("na", "nb") >= F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9)) & (1 + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= common)
+    return side("a").join(side("b"), "shingle").filter("a < b").filter(fits).select("a", "b")
+
+
+def candidates(classes: DataFrame, similarity: float, hot: int | None = None) -> DataFrame:
+    """Distinct candidate pairs (a, b) of classes (class, n, s0, s1, anchors, vectors, set)."""
+    parts = classes.select("class", "n", "s0", "s1", F.explode(F.arrays_zip("anchors", "vectors")).alias("p"))
+    parts = parts.select("class", "n", "s0", "s1", F.col("p.anchors").alias("anchor"), F.col("p.vectors").alias("vector"))
+    counts = classes.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
+    crowded = broadcast_if_small(counts.filter(F.col("c") > (HOT_ANCHOR if hot is None else hot)).select("anchor"))
     if crowded.isEmpty():
-        return pairs
-    # Members of a crowded key that are similar also meet in one of as many further bands.
-    members = classes.join(crowded.select("class").distinct(), "class", "left_semi")
-    further = _keys(members, bands, bands).select(F.col("key").alias("more"), "class")
-    refined = crowded.join(further, "class").select(F.xxhash64("key", "more").alias("key"), "class", "n", "s0", "s1")
-    return pairs.unionByName(_meet(refined, similarity)).distinct()
+        return _key_pairs(parts, similarity).distinct()
+    members = parts.join(crowded, "anchor", "left_semi").select("class").distinct()
+    held = durable(classes.select("class", "n", "set").join(members, "class", "left_semi"))
+    return _key_pairs(parts.join(crowded, "anchor", "left_anti"), similarity).unionByName(prefix_pairs(held, similarity)).distinct()
 
 
 def similar_classes(
     df: DataFrame, key: str, text: str, *, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY,
-    least_words: int = 0, bands: int = BANDS,
+    least_words: int = 0, bands: int = BANDS, hot: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership is distinct (member, class); links is (a, b, similarity), a < b, of classes.
 
     Similarity is the number of common shingles divided by the number of distinct shingles of both. Members with equal
     shingle sets share a class and need no link. A null key is a member like any other; empty tables give empty results.
     """
-    sets = shingle_sets(df, key, text, shingle_words, least_words)
-    sets = durable(sets.dropDuplicates(["member", "class"]))
-    classes = sets.groupBy("class").agg(F.first("set").alias("set"))
-    pairs = candidates(durable(classes), similarity, bands)
-    left = sets.groupBy("class").agg(F.first("set").alias("sa")).withColumnRenamed("class", "a")
-    right = sets.groupBy("class").agg(F.first("set").alias("sb")).withColumnRenamed("class", "b")
-    both = pairs.join(left, "a").join(right, "b")
+    sets = durable(shingle_sets(df, key, text, shingle_words, least_words, bands))
+    membership = durable(sets.select("member", "class").distinct())
+    classes = durable(sets.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1", "anchors", "vectors", "set")]))
+    release(sets)
+    pairs = durable(candidates(classes, similarity, hot))
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("set").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    links = (
-        both.withColumn("common", common)
-        .select("a", "b", (F.col("common") / union).alias("similarity"))
-        .filter(F.col("similarity") >= F.lit(similarity) - 1e-12)
-    )
-    return sets.select("member", "class"), links
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", common.alias("common"))
+    found = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    return membership, both.select("a", "b", found.alias("similarity")).filter(F.col("similarity") >= F.lit(similarity) - 1e-12)
 
 
 def member_pairs(membership: DataFrame, links: DataFrame) -> DataFrame:
