@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import backend, extraction
 from scriptorium.operators.answering import NO_HIT, answer
-from scriptorium.operators.units import convert_values
+from scriptorium.operators.units import convert_values, metric_spellings, read_metrics
 from scriptorium.sources.records import append_log, pending, read_log
 from scriptorium.streaming.records import follow_log, read_followed
 
@@ -92,13 +93,15 @@ def test_stream_follows_the_log(spark, tmp_path):
 
 
 def test_units(spark):
-    terms = [("metric", "Accuracy", "score"), ("metric", "Query Latency", "duration"), ("metric", "Peak Memory", "memory"), ("metric", "Throughput", "rate"), ("metric", "Parameter Count", "count"), ("metric", "F1", "score"), ("metric", "Macro F1", "score"), ("dataset", "Harbor QA", None)]
+    terms = [("metric", "Accuracy", "score"), ("metric", "Query Latency", "duration"), ("metric", "Peak Memory", "memory"), ("metric", "Throughput", "rate"), ("metric", "Parameter Count", "count"), ("metric", "Training Time", "duration"), ("metric", "Exact Match", "score"), ("metric", "Recall@20", "score"), ("metric", "F1", "score"), ("metric", "Macro F1", "score"), ("dataset", "Harbor QA", None)]
     cases = {
         1: ("Accuracy", 0.5, None, 5000), 2: ("acc", 50.0, "", 5000), 3: ("Accuracy", 0.3, "reaches 0.3% Accuracy", 30), 4: ("acc", 345.0, "was 345‰", 3450),
         5: ("Query Latency (ms)", 2.0, "took 9 s", 2000), 6: ("qry latency", 1423.0, "needs 1,423 usec of it", 1423), 7: ("Query Latency", 3.0, "was 3 on a 48 GB card", None),
         8: ("Peak Memory", 2.0, "2 GiB", 2147483648), 9: ("Peak Memory, MB", 1.5, None, 1500000), 10: ("Throughput in kQPS", 2.0, None, 7200000), 11: ("thruput", 2.0, "2 q/min", 120),
         12: ("Parameter Count - K", 3.0, None, 3000), 13: ("params", 1.5, "1.5 billion parameters", 1500000000), 14: ("Accuracy", -1.0, None, None), 15: ("Accuracy", float("nan"), None, None),
         16: ("Accuracy", None, "50%", None), 17: ("toxicity", 1.0, "1%", None), 18: ("F1 (macro)", 0.7, None, 7000), 19: ("F1 [pct]", 0.7, None, 70), 20: (None, 1.0, "1%", None), 21: ("Accuracy", 1.0, None, 10000),
+        24: ("Exat Match", 0.5, None, 5000), 25: ("acuracy", 0.5, None, 5000), 26: ("Traning Time (ms)", 2.0, None, 2000), 27: ("Querry Latency (ms)", 2.0, None, 2000), 28: ("Peek Memory, MB", 1.0, None, 1000000),
+        29: ("paramter cuont", 2.0, "2 million parameters", 2000000), 30: ("Recal@20", 0.5, None, 5000), 31: ("Recall@50", 0.5, None, None), 32: ("", 1.0, "1%", None), 33: ("thrghput", 2.0, "2 q/min", 120),
         22: ("Peak Memory", 48.0, "came to 48 over 3 runs", None), 23: ("F1", 0.0, None, 0),
     }
     rows = [(k, *v[:3], "x") for k, v in cases.items()]
@@ -106,3 +109,16 @@ def test_units(spark):
     got = {r.claim_id: r.target_value for r in convert_values(claims, spark.createDataFrame(terms, "field string, canonical string, quantity string")).collect()}
     assert got == {k: v[3] for k, v in cases.items() if v[3] is not None}
     assert convert_values(claims.limit(0), spark.createDataFrame(terms, "field string, canonical string, quantity string")).count() == 0
+
+
+def test_metrics_are_read_with_unseen_typos(spark):
+    rng = random.Random(5)
+    names = {"Query Latency": "duration", "Peak Memory": "memory", "Throughput": "rate", "Parameter Count": "count", "Citation Precision": "score", "Energy Use": "energy"}
+    typed = {}
+    for name in names:
+        for _ in range(60):
+            i = rng.randrange(1, len(name) - 1)
+            typed[rng.choice([name[:i] + name[i + 1 :], name[: i - 1] + name[i] + name[i - 1] + name[i + 1 :], name[:i] + rng.choice("abcdefgh") + name[i:]])] = name
+    spellings = metric_spellings(spark.createDataFrame([("metric", n, q) for n, q in names.items()], "field string, canonical string, quantity string"))
+    got = {r.metric: r.quantity for r in read_metrics(spark.createDataFrame([(t,) for t in typed], "metric string"), spellings).collect()}
+    assert sum(got.get(t) == names[n] for t, n in typed.items()) / len(typed) >= 0.98
