@@ -2,7 +2,8 @@
 
 Each Arrow batch is split into pre-tokens; the distinct ones become rows of padded integer matrices, bucketed by
 length. In every round every row merges its leftmost pair of minimum rank; pair ranks come from an open-addressing
-hash table over (left id, right id), and matrices are compacted after each round. Finished words are kept in a bounded
+hash table over (left id, right id), and matrices are compacted after each round. A very long row is folded into a matrix
+of its own with the minimum of each line, and merged in the same order. Finished words are kept in a bounded
 memo per worker, so a word is merged about once per worker.
 
 Null and empty texts give an empty list. Strings that look like special tokens are ordinary text.
@@ -25,8 +26,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept in a worker's memo at most; when full it starts again.
 MEMO_WORDS = 400_000
-#: Words longer than this are merged all over the row in a round, not once a row.
-LONG_WORD = 64
+#: Bytes of a row beyond which its ranks are folded into a matrix of this width, so that a round looks at one of its rows.
+FOLD = 512
 _NONE = np.int32(2**31 - 1)
 
 
@@ -121,20 +122,41 @@ class ByteBPE:
                 rank[r, c] = self.table.ranks(ids[r, c], ids[r, c + 1])
         return done
 
-    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One long row: each round merges every occurrence, left to right, of its minimum-rank pair."""
-        while len(ids) > 1:
-            rank = self.table.ranks(ids[:-1], ids[1:])
-            low = rank.min()
-            if low == _NONE:
-                break
-            at = np.flatnonzero(rank == low)
-            if len(at) > 1 and (np.diff(at) == 1).any():  # overlapping occurrences: take every other one of a run
-                start = np.r_[True, np.diff(at) != 1]
-                at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))) % 2 == 0]
-            ids[at] = low
-            ids = np.delete(ids, at + 1)
-        return ids
+    def _merge_folded(self, ids: np.ndarray) -> np.ndarray:
+        """One long row: its leftmost pair of minimum rank a round, found by the minima of the folded ranks.
+
+        A merged token stays at the place of its left part; the place of its right part is left empty.
+        """
+        size = len(ids)
+        count = -(-size // FOLD)
+        rank = np.full(count * FOLD, _NONE, dtype=np.int32)
+        rank[: size - 1] = self.table.ranks(ids[:-1], ids[1:])
+        folded = rank.reshape(count, FOLD)
+        least = folded.min(axis=1)
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        while True:
+            line = int(least.argmin())
+            if least[line] == _NONE:
+                return ids[ids >= 0]
+            at = line * FOLD + int(folded[line].argmin())
+            gone = int(after[at])
+            ids[at], ids[gone], rank[gone] = rank[at], -1, _NONE
+            right, left = int(after[gone]), int(before[at])
+            after[at] = right
+            rank[at] = _NONE
+            touched = {line, gone // FOLD}
+            firsts = []
+            if right < size:
+                before[right] = at
+                firsts.append((at, right))
+            if left >= 0:
+                firsts.append((left, at))
+            if firsts:
+                x, y = (np.array(c) for c in zip(*firsts))
+                rank[x] = self.table.ranks(ids[x], ids[y])
+                touched.update(int(i) // FOLD for i in x)
+            for line in touched:
+                least[line] = folded[line].min()
 
     def learn(self, words: list[str]) -> None:
         """Put the ids of `words` into the memo."""
@@ -146,8 +168,8 @@ class ByteBPE:
                 self.memo[word] = np.array([token], dtype=np.int32)
                 continue
             ids = self.byte_id[np.frombuffer(raw, dtype=np.uint8)]
-            if len(ids) > LONG_WORD:
-                self.memo[word] = self._merge_long(ids)
+            if len(ids) > FOLD:
+                self.memo[word] = self._merge_folded(ids)
             else:
                 buckets.setdefault(-(-len(ids) // 8), []).append((word, ids))
         for group in buckets.values():
