@@ -27,6 +27,13 @@ LOOK_ALIKES = {
     "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϳ": "j", "ϲ": "c",
+    "Ս": "U", "Տ": "S", "Օ": "O", "Լ": "L", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ց": "g", "զ": "q",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R",
+    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y",
+    "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 #: Hyphens with a plain form.
 HYPHENS = {"‐": "-", "‑": "-", "﹣": "-", "－": "-"}
@@ -68,15 +75,31 @@ def _single() -> dict[int, str]:
     return table
 
 
+@lru_cache(maxsize=1)
+def _joining() -> set[int]:
+    """Characters that may change with what stands before them: reordered marks and second parts of compositions.
+
+    The quick check answers "maybe" for them: a segment of them has the character before it as its boundary context.
+    """
+    found = {c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
+    for code in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", chr(code)) == chr(code):
+            found.add(int(parts[1], 16))
+    # Medial and final letters of Hangul syllables, which compose by rule and not by table.
+    return found | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+
+
 @lru_cache(maxsize=1)
 def _patterns():
     import regex
 
     singles = "".join(regex.escape(chr(c)) for c in sorted(_single()))
     look = "".join(LOOK_ALIKES)
+    joins = "".join(regex.escape(chr(c)) for c in sorted(_joining()))
     return (
         regex.compile(r"\r\n|[" + singles + "]+"),
-        regex.compile(r"\P{M}?\p{M}+|[ᄀ-ᇿ]+"),
+        regex.compile(rf"[^{joins}]?[{joins}]+"),
         regex.compile(rf"(?=\p{{L}}*[{look}])(?=\p{{L}}*\p{{Latin}})(?<!\p{{L}})\p{{L}}+"),
     )
 
