@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.operators.text import NUMBERED_HEADING
+
 TOKEN_FACTOR = 1.3
-#: Heading lines of the corpus.
-NUMBERED_HEADING = re.compile(r"^[ \t]*(?:(?:\d+|[IVXLC]+|[A-Z])(?:\.\d+)*)\.?[ \t]+([A-Z][A-Za-z0-9 \-:,'&/]{2,60})[ \t]*$")
+_NUMBERED = re.compile(NUMBERED_HEADING)
 SCHEMA = "item_key string, piece int, char_start int, char_end int, estimate int, sections array<string>, text string"
 
 
@@ -104,12 +105,12 @@ def touched(text: str, sections: list[str] | None, start: int, end: int) -> list
     for line in text.split("\n"):
         title = line.strip().rstrip(".:")
         if line and len(line) <= 80:
-            numbered = NUMBERED_HEADING.match(line)
-            key = (numbered[1] if numbered else title).strip().rstrip(".:").casefold()
+            numbered = _NUMBERED.match(line)
+            key = (numbered[2] if numbered else title).strip().rstrip(".:").casefold()
             if key in named:
                 marks.append((at, named[key]))
             elif numbered and not named:
-                marks.append((at, numbered[1].strip()))
+                marks.append((at, numbered[2].strip()))
         at += len(line) + 1
     before = set(named.values()) - {t for _, t in marks}
     first = marks[0][0] if marks else len(text) + 1
