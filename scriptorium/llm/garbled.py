@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.sources.tables import durable, spread
+from scriptorium.sources.tables import spread
 
 #: Fixed values: (encoding of the bytes, encoding they were read in).
 PAIRS = [
@@ -291,11 +291,12 @@ class Model:
 def find_garbled(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, garbled, original): rows whose text has garbled spans; original is null where something was lost.
 
-    The model's counts cover the whole column; they are bounded by the alphabet (classes and characters), not by rows.
+    The column is read twice, once to count and once to label, so no text is copied. The model's counts cover the whole
+    column; they are bounded by the alphabet (classes and characters), not by rows.
     Repeated rows come out as often as they go in.
     """
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7F]"))
-    narrow = durable(spread(narrow, "key"))
+    narrow = spread(narrow, "key")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()

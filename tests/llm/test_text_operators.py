@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,28 @@ def test_encoder_on_any_text(encoder, reference, texts):
     assert encode(encoder, texts) == [reference.encode_ordinary(t) if t else [] for t in texts]
 
 
+def test_merge_order_is_that_of_single_merges(encoder, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 700))) for letters in ("ab", "abc", "aeinrst", "in", "=-", "0189", "\u00e9\u00e8a", "etaoinshrdlu") for _ in range(25)]
+
+    def single(word):
+        ids = encoder.byte_id[np.frombuffer(word.encode(), dtype=np.uint8)]
+        while len(ids) > 1:
+            rank = encoder.table.ranks(ids[:-1], ids[1:])
+            at = int(rank.argmin())
+            if rank[at] == tokenize._NONE:
+                break
+            ids = np.concatenate((ids[:at], rank[at : at + 1], ids[at + 2 :]))
+        return ids.tolist()
+
+    want = [single(w) for w in words]
+    for fold in (2, 16, 512):
+        monkeypatch.setattr(tokenize, "FOLD", fold)
+        encoder.memo.clear()
+        encoder.learn(words)
+        assert [encoder.memo[w].tolist() for w in words if w not in encoder.whole] == [x for w, x in zip(words, want)]
+
+
 def test_encode_column(spark):
     rows = spark.createDataFrame([(1, "hello world", "x"), (2, None, "x"), (3, "", "x"), (1, "hello world", "x")], "doc_id bigint, text string, ids string")
     got = tokenize.encode_column(rows, "doc_id").collect()
@@ -56,6 +79,8 @@ CASES = {
     "ＦＵＬＬ": "FULL", "eﬃcient": "efficient", "\U0001d401\U0001d41e\U0001d427": "Ben", "non‑breaking": "non-breaking", "Сorvid": "Corvid",
     "Αnneke": "Anneke", "граф поиск": "граф поиск", "β-VAE Δ-term 10³ R²": "β-VAE Δ-term 10³ R²",
     "– — “q” ’": "– — “q” ’", "line\r\nnext x": "line\nnext\nx", "e‍́": "é", "检索": "检索", "Å": "Å", "x\ttab": "x\ttab",
+    "\uac00\u11a8": "\uac01", "\u1100\u1161\u11a8": "\uac01", "\u1100\u1161": "\uac00", "x\u0323\u0307": "\u1e8b\u0323", "C\ua4ees": "CAs", "\u13aa": "\u13aa", "\u13aapple": "Apple",
+    "N\u0585te": "Note", "\u13afoo": "\u13afoo",
 }
 
 
