@@ -66,11 +66,12 @@ def test_every_type_is_resolved(spark, data):
     assert {"Author", "Institution"} <= {r.type for r in got.select("type").distinct().collect()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task_bytes", [None, 0])
+def test_components(spark, one_task_bytes):
     edges = [("b", "a"), ("b", "c"), ("d", "e"), ("x", "x"), (None, "a"), ("c", "b")] + [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string"), one_task_bytes=one_task_bytes).collect()}
     assert got["c"] == "a" and got["e"] == "d" and "x" not in got and {got[f"n{i:02}"] for i in range(41)} == {"n00"}
-    assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a string, b string"), one_task_bytes=one_task_bytes).count() == 0
 
 
 CLUSTER = [("1", "2"), ("2", "3"), ("3", "1"), ("1", "4"), ("4", "2")]
