@@ -1,17 +1,19 @@
-"""Typed property graph with provenance: build, counts, neighbourhoods.
+"""Typed property graph with provenance: schema, build, counts, neighbourhoods.
 
-Missing: entity nodes with their alias lists (G8), REPORTS edges from results (G10), the build's summary of written and
-dropped (G11), member edges of communities by label priority (H5).
+Nodes are rows (label, key, properties), edges rows (rel, src_label, src, dst_label, dst, properties). A build reads the
+accepted records of the extraction log, resolves every end through the alias map of names, aliases, configuration and
+merges, and overwrites what was there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scriptorium.operators.resolution import endpoint_key, merged_aliases
+from scriptorium.sources.tables import broadcast_if_small, durable, hinted
+
 #: Which labels each relation may join.
 SIGNATURES = [
     ("AUTHORED_BY", "Paper", "Author"), ("AFFILIATED_WITH", "Author", "Institution"), ("ADDRESSES", "Paper", "Task"),
@@ -19,12 +21,43 @@ SIGNATURES = [
     ("EVALUATES_ON", "Paper", "Dataset"), ("EVALUATES_ON", "Method", "Dataset"), ("REPORTS", "Paper", "Metric"),
     ("BUILDS_ON", "Method", "Method"), ("COMPARES_TO", "Method", "Method"),
 ]
+#: Key and properties of each label, then properties of relations beside their provenance.
+NODE_TABLES = {
+    "Paper": ("id", ["title STRING", "abstract STRING", "published DATE", "categories STRING"]), "Author": ("name", ["aliases STRING"]),
+    "Institution": ("name", ["aliases STRING"]), "Task": ("name", ["description STRING", "aliases STRING"]),
+    "Method": ("name", ["description STRING", "aliases STRING"]), "Dataset": ("name", ["description STRING", "aliases STRING"]),
+    "Metric": ("name", ["aliases STRING"]), "Chunk": ("chunk_id", ["paper_id STRING", "char_start BIGINT", "char_end BIGINT", "section STRING"]),
+    "Community": ("community_id", ["level BIGINT", "title STRING", "summary STRING", "size BIGINT"]),
+}
+PROVENANCE = ["window_id STRING", "char_start BIGINT", "char_end BIGINT", "evidence STRING", "confidence DOUBLE"]
+RELATION_PROPERTIES = {"AUTHORED_BY": ["ordinal BIGINT"], "REPORTS": ["value DOUBLE", "dataset STRING", "method STRING"]}
+#: Labels that a member of a community is looked up in, in order.
+MEMBER_LABELS = ["Method", "Dataset", "Task", "Author", "Paper"]
 #: Relations that make communities, in the order their text is written.
 THEMATIC = ["EVALUATES_ON", "USES", "PROPOSES", "BUILDS_ON", "COMPARES_TO", "ADDRESSES"]
 EXTRACTABLE = ["Author", "Institution", "Task", "Method", "Dataset", "Metric"]
 EVIDENCE_LENGTH, PROPERTY_LENGTH, ABSTRACT_LENGTH = 2000, 200, 4000
 
 
+def schema_ddl() -> list[str]:
+    """CREATE TABLE statements, node tables before relation tables; existing tables stay."""
+    nodes = [f"CREATE TABLE IF NOT EXISTS node_{label.lower()} ({', '.join([f'{key} STRING', *props])}) USING parquet" for label, (key, props) in NODE_TABLES.items()]
+    names = [*dict.fromkeys(rel for rel, _, _ in SIGNATURES), "MENTIONED_IN", "IN_COMMUNITY"]
+    ends = ["src_label STRING", "src STRING", "dst_label STRING", "dst STRING"]
+    plain = ("MENTIONED_IN", "IN_COMMUNITY")
+    return nodes + [f"CREATE TABLE IF NOT EXISTS rel_{r.lower()} ({', '.join(ends + ([] if r in plain else PROVENANCE + RELATION_PROPERTIES.get(r, [])))}) USING parquet" for r in names]
+
+
+def schema_text() -> str:
+    """Labels with their keys, relations with their ends and properties, for a prompt."""
+    out = ["Node tables:", *[f"  ({label}) primary key: {key}" for label, (key, _) in NODE_TABLES.items()], "", "Relationship tables:"]
+    for rel in dict.fromkeys(r for r, _, _ in SIGNATURES):
+        ends = "; ".join(f"{a} -> {b}" for r, a, b in SIGNATURES if r == rel)
+        props = [p.split(" ")[0] for p in [*RELATION_PROPERTIES.get(rel, []), *PROVENANCE]]
+        out.append(f"  -[:{rel}]-> {ends}   [props: {', '.join(props)}]")
+    return "\n".join([*out, f"  -[:IN_COMMUNITY]-> {'; '.join(f'{label} -> Community' for label in MEMBER_LABELS)}"])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows merged on `key`: a property of `new` replaces the old one unless it is null, empty or an empty list."""
     names = [c for c in old.columns if c != key]
@@ -61,6 +94,21 @@ def authored_by(papers: DataFrame) -> DataFrame:
     return papers.select(F.col("paper_id").alias("src"), F.posexplode("authors").alias("ordinal", "dst")).filter("dst is not null").distinct()
 
 
+def authored_edges(papers: DataFrame) -> DataFrame:
+    """AUTHORED_BY edges (G7): one for each author of a paper at the first place it stands, certain by their source."""
+    first = authored_by(papers).filter("dst <> '' and src is not null").groupBy("src", "dst").agg(F.min("ordinal").cast("bigint").alias("ordinal"))
+    return first.select(
+        F.lit("AUTHORED_BY").alias("rel"), F.lit("Paper").alias("src_label"), "src", F.lit("Author").alias("dst_label"), "dst",
+        F.lit("paper metadata").alias("evidence"), F.lit(1.0).alias("confidence"), "ordinal",
+    )
+
+
+def entity_nodes(aliases: DataFrame) -> DataFrame:
+    """(label, key, aliases) of the named entities (G8): their keys in order, joined; papers are no named entities."""
+    named = aliases.filter(F.col("type").isin(EXTRACTABLE)).groupBy(F.col("type").alias("label"), F.col("canonical").alias("key"))
+    return named.agg(F.array_join(F.array_sort(F.collect_set("key")), ", ").alias("aliases"))
+
+
 def relations(log: DataFrame) -> DataFrame:
     """One row for each relation of the accepted records, with its place in the log."""
     return log.select("seq", "window_id", "paper_id", "char_start", "char_end", F.posexplode("relations").alias("rel_no", "r")).select(
@@ -69,28 +117,116 @@ def relations(log: DataFrame) -> DataFrame:
     )
 
 
-def plain_key(column: str) -> Column:
-    """A name lower-cased as it stands."""
-    return F.lower(F.trim(F.col(column)))
+def resolved_relations(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """`relations` with both ends resolved strictly: (…, name_s, label_s, name_o, label_o), null where an end is unknown.
+
+    Ends are looked up by `endpoint_key` in `aliases` (key, canonical, type). The alias side is broadcast where it is few
+    bytes (measured); beyond that AQE splits the shuffled join at ends that many relations share.
+    """
+    table = broadcast_if_small(aliases.select("key", "canonical", "type"))
+    side = lambda n: table.select(F.col("key").alias(f"k_{n}"), F.col("canonical").alias(f"name_{n}"), F.col("type").alias(f"label_{n}"))
+    keyed = rows.withColumn("k_s", endpoint_key("subject")).withColumn("k_o", endpoint_key("object"))
+    return keyed.join(hinted(side("s"), table), "k_s", "left").join(hinted(side("o"), table), "k_o", "left")
 
 
-def typed_edges(rows: DataFrame, aliases: DataFrame, key: Callable[[str], Column] = plain_key) -> DataFrame:
-    """Edges of relations with both ends resolved strictly, the first of equal ones, with an allowed signature.
+def typed_edges(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Edges of relations with both ends resolved strictly, the first of equal ones, with an allowed signature.
 
-    A Paper-typed end becomes the record's paper. Edges are deduplicated before the signature is checked. `key` gives
-    the key of `aliases` that an end is looked up by.
+    A Paper-typed end becomes the record's paper. Edges are deduplicated before the signature is checked.
     """
-    side = lambda n: aliases.select(F.col("key").alias(f"k_{n}"), F.col("canonical").alias(f"name_{n}"), F.col("type").alias(f"label_{n}"))
-    both = rows.withColumn("k_s", key("subject")).withColumn("k_o", key("object")).join(side("s"), "k_s").join(side("o"), "k_o")
+    return _signed(_first_edges(resolved_relations(rows, aliases))).select(
+        F.col("predicate").alias("rel"), F.col("label_s").alias("src_label"), "src", F.col("label_o").alias("dst_label"), "dst",
+        "window_id", "char_start", "char_end", "evidence", F.coalesce("confidence", F.lit(0.8)).alias("confidence"),
+    )
+
+
+def _first_edges(both: DataFrame) -> DataFrame:
+    """Relations with two known ends and a predicate, the first of equal (predicate, src, dst)."""
     end = lambda n: F.when(F.col(f"label_{n}") == "Paper", F.col("paper_id")).otherwise(F.col(f"name_{n}"))
-    named = both.withColumn("src", end("s")).withColumn("dst", end("o"))
-    first = Window.partitionBy("predicate", "src", "dst").orderBy("seq", "rel_no", "window_id")
-    one = named.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
-    allowed = one.sparkSession.createDataFrame(SIGNATURES, "predicate string, label_s string, label_o string")
-    return one.join(F.broadcast(allowed), ["predicate", "label_s", "label_o"]).select(
+    named = both.withColumn("src", end("s")).withColumn("dst", end("o")).filter("predicate <> '' and src is not null and dst is not null")
+    place = F.struct("seq", "rel_no", "window_id")
+    rest = [c for c in named.columns if c not in ("predicate", "src", "dst")]
+    # The least place is found by a partial aggregate before the shuffle, so an edge that many windows say is no hot group.
+    one = named.groupBy("predicate", "src", "dst").agg(F.min_by(F.struct(*rest), place).alias("first"))
+    return one.select("predicate", "src", "dst", "first.*")
+
+
+def _signed(edges: DataFrame) -> DataFrame:
+    allowed = edges.sparkSession.createDataFrame(SIGNATURES, "predicate string, label_s string, label_o string")
+    return edges.join(F.broadcast(allowed), ["predicate", "label_s", "label_o"])
+
+
+def reports_edges(claims: DataFrame, aliases: DataFrame) -> DataFrame:
+    """REPORTS edges of claims (paper_id, window_id, method, dataset, metric, value, evidence).
+
+    Claims without a metric are dropped, the others are not deduplicated; method and dataset are resolved leniently (F11)
+    and cut; a null value is 0.
+    """
+    table = broadcast_if_small(aliases.select("key", "canonical"))
+    said = claims.withColumn("metric", F.trim("metric")).filter("metric <> '' and paper_id is not null")
+    for column in ("method", "dataset"):
+        side = hinted(table.select(F.col("key").alias(f"k_{column}"), F.col("canonical").alias(f"c_{column}")), table)
+        said = said.withColumn(f"k_{column}", endpoint_key(column)).join(side, f"k_{column}", "left")
+        said = said.withColumn(column, F.substring(F.coalesce(f"c_{column}", F.trim(column), F.lit("")), 1, PROPERTY_LENGTH))
+    return said.select(
+        F.lit("REPORTS").alias("rel"), F.lit("Paper").alias("src_label"), F.col("paper_id").alias("src"), F.lit("Metric").alias("dst_label"), F.col("metric").alias("dst"),
+        "window_id", F.substring(F.coalesce("evidence", F.lit("")), 1, EVIDENCE_LENGTH).alias("evidence"), F.lit(1.0).alias("confidence"),
+        F.coalesce("value", F.lit(0.0)).alias("value"), "dataset", "method",
+    )
+
+
+def build_graph(papers: DataFrame, log: DataFrame, entities: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, summary) of accepted records.
+
+    Nodes: papers, their authors, the named entities, the metrics of claims; one row (label, key) with the filled
+    properties. Edges: AUTHORED_BY, the relations, REPORTS. Summary: entities, relations written and relations dropped:
+    an unknown end, no predicate or no metric, an end that is no node, or a signature that is not allowed; repeats are neither.
+    """
+    aliases = durable(merged_aliases(entities))
+    both = durable(resolved_relations(relations(log), aliases))
+    first = durable(_first_edges(both))
+    said = _signed(first).select(
         F.col("predicate").alias("rel"), F.col("label_s").alias("src_label"), "src", F.col("label_o").alias("dst_label"), "dst",
         "window_id", "char_start", "char_end", "evidence", F.coalesce("confidence", F.lit(0.8)).alias("confidence"),
     )
+    metadata, reports = authored_edges(papers), reports_edges(claims, aliases)
+    text = lambda name: F.lit(None).cast("string").alias(name)
+    paper = paper_nodes(papers).select(F.lit("Paper").alias("label"), F.col("id").alias("key"), text("aliases"), "title", "abstract", "categories")
+    wide = lambda df, aliases: df.select("label", "key", aliases, text("title"), text("abstract"), text("categories"))
+    named = entity_nodes(aliases)
+    others = metadata.select(F.col("dst_label").alias("label"), F.col("dst").alias("key")).unionByName(reports.select(F.col("dst_label").alias("label"), F.col("dst").alias("key")))
+    every = paper.unionByName(wide(named, F.col("aliases"))).unionByName(wide(others, text("aliases"))).filter("key is not null")
+    nodes = durable(every.groupBy("label", "key").agg(*[F.max(c).alias(c) for c in ("aliases", "title", "abstract", "categories")]))
+    edges = metadata.unionByName(said, allowMissingColumns=True).unionByName(reports, allowMissingColumns=True)
+    for end in ("src", "dst"):  # an edge joins nodes that are there (G2)
+        edges = edges.join(nodes.select(F.col("label").alias(f"{end}_label"), F.col("key").alias(end)), [f"{end}_label", end], "left_semi")
+    edges = durable(edges.select("rel", "src_label", "src", "dst_label", "dst", *[c for c in edges.columns if c not in ("rel", "src_label", "src", "dst_label", "dst")]))
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    summary = (
+        one(named, "canonical_entities")
+        .crossJoin(one(edges.filter("rel <> 'AUTHORED_BY'"), "relations_written"))
+        .crossJoin(one(both.filter("coalesce(predicate, '') = '' or name_s is null or name_o is null"), "unknown"))
+        .crossJoin(one(first, "kept")).crossJoin(one(claims, "claims"))
+    )
+    dropped = F.col("unknown") + F.col("kept") + F.col("claims") - F.col("relations_written")
+    return nodes, edges, summary.select("canonical_entities", "relations_written", dropped.alias("relations_dropped"))
+
+
+def member_edges(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """IN_COMMUNITY edges of members (community, node): the first of MEMBER_LABELS that has a node of the name (H5)."""
+    place = F.array_position(F.array(*[F.lit(label) for label in MEMBER_LABELS]), F.col("label"))
+    known = members.join(nodes.filter(F.col("label").isin(MEMBER_LABELS)).select("label", F.col("key").alias("node")), "node")
+    first = known.groupBy("community", "node").agg(F.min_by("label", place).alias("src_label"))
+    return first.select(F.lit("IN_COMMUNITY").alias("rel"), "src_label", F.col("node").alias("src"), F.lit("Community").alias("dst_label"), F.col("community").alias("dst"))
+
+
+def answer_subgraph(edges: DataFrame, names: list[str], each: int = 5, most_names: int = 4, most: int = 120) -> DataFrame:
+    """(name, rel, source, target): for each of the first names up to `each` edges with an end that contains it."""
+    seeds = edges.sparkSession.createDataFrame([(n, name) for n, name in enumerate(names[:most_names])], "n int, name string")
+    near = F.lower("src").contains(F.lower("name")) | F.lower("dst").contains(F.lower("name"))
+    met = edges.select("rel", F.col("src").alias("source"), F.col("dst").alias("target"), "src", "dst").join(F.broadcast(seeds), near).drop("src", "dst").distinct()
+    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy("rel", "source", "target"))).filter(F.col("r") <= each)
+    return ranked.orderBy("n", "r").limit(most).select("name", "rel", "source", "target")
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

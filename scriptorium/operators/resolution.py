@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from scriptorium.operators.components import connected_components
@@ -21,63 +17,41 @@ NOISE_WORDS = {
 }
 #: Suffixes of word forms, the first that fits is cut.
 SUFFIXES = ["ation", "ional", "ing", "ion", "er", "or", "al"]
-#: A trailing bracket, a year, a trailing modifier.
-BRACKET, YEAR, MODIFIER = r"\s*\([^()]*\)\s*$", r"\b(1[89]|20)\d{2}\b", r"\s*\+\s*[A-Za-z0-9_-]{1,12}\s*$"
+#: Fixed value: a year.
+YEAR = r"\b(?:1[89]|20)\d{2}\b"
 COSINE, OVERLAP, LEAST_NAME = 0.92, 0.8, 3
 
 
-def strip_config(name: str) -> str:
-    """A name without trailing configuration: brackets unless they hold a year, and a modifier that stands on one."""
-    while True:
-        bracket = re.search(BRACKET, name)
-        if bracket and not re.search(YEAR, bracket[0]):
-            shorter = name[: bracket.start()]
-        else:
-            modifier = re.search(MODIFIER, name)
-            beneath = name[: modifier.start()] if modifier else ""
-            below = re.search(BRACKET, beneath)
-            if not (below and not re.search(YEAR, below[0])):
-                return name.strip()
-            shorter = beneath
-        if len(shorter.strip()) < LEAST_NAME:
-            return name.strip()
-        name = shorter
-
-
-def _stem(word: str) -> str:
-    if word.endswith("es") and not word.endswith(("ses", "ies")) and len(word) > 4:
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss") and len(word) > 3:
-        word = word[:-1]
-    for suffix in SUFFIXES:
-        if word.endswith(suffix) and len(word) > len(suffix) + 2:
-            return word[: -len(suffix)]
-    return word
+_PLAIN_BRACKET = rf"\((?![^()]*{YEAR})[^()]*\)"
+_TAIL = rf"\s*{_PLAIN_BRACKET}\s*(?:\+\s*[A-Za-z0-9_-]{{1,12}}\s*)?"
+_NOISE = "|".join(sorted(NOISE_WORDS))
+_STEM = rf"^(.{{3,}}?)({'|'.join(SUFFIXES)})$"
 
 
-def normal_form(name: str) -> str:
-    """Lower case, no punctuation, no trailing noise words, words cut to a stem."""
-    words = re.sub(r"[^\w\s]", " ", strip_config(name).lower()).split()
-    while len(words) > 1 and words[-1] in NOISE_WORDS:
-        words.pop()
-    return " ".join(map(_stem, words))
+def strip_config(name: Column) -> Column:
+    """A name without trailing configuration: brackets unless they hold a year, and a modifier that stands on one.
 
-
-def _text_udf(fn):
-    def series(names: pd.Series) -> pd.Series:
-        return names.map(fn, na_action="ignore")
-
-    return lambda column: F.pandas_udf(series, StringType())(column)
+    One pattern takes the whole tail of such groups and leaves LEAST_NAME characters at least; a modifier on a bracket
+    that has to stay goes as well. Null stays null.
+    """
+    whole = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+    cut = F.regexp_extract(whole, rf"(?U)^(\S.{{{LEAST_NAME - 1},}}?)(?<=\S)(?:{_TAIL})+$", 1)
+    kept = F.regexp_replace(whole, rf"(?U)({_PLAIN_BRACKET})\s*\+\s*[A-Za-z0-9_-]{{1,12}}$", "$1")
+    return F.when(whole.contains("("), F.coalesce(F.nullif(cut, F.lit("")), kept)).otherwise(whole)
 
 
-def strip_config_column(name: Column) -> Column:
-    """`strip_config` of a column; names without a bracket never reach Python."""
-    return F.when(name.contains("("), _text_udf(strip_config)(name)).otherwise(F.trim(name))
+def _stem(word: Column) -> Column:
+    """A word without its plural and without the first of SUFFIXES that leaves three letters."""
+    size = F.length(word)
+    many = F.when(word.endswith("es") & ~word.rlike("[si]es$") & (size > 4), 2).when(word.endswith("s") & ~word.endswith("ss") & (size > 3), 1).otherwise(0)
+    return F.regexp_replace(F.substring(word, F.lit(1), size - many), _STEM, "$1")
 
 
-def normal_form_column(name: Column) -> Column:
-    """`normal_form` of a column."""
-    return _text_udf(normal_form)(name)
+def normal_form(name: Column) -> Column:
+    """Lower case, no punctuation, no trailing noise words while another one is left, words cut to a stem."""
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(F.lower(strip_config(name)), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    words = F.split(F.regexp_replace(spaced, rf"(?<=\S)(?: (?:{_NOISE}))+$", ""), " ")
+    return F.array_join(F.transform(words, _stem), " ")
 
 
 def numbers(name: Column) -> Column:
@@ -127,7 +101,7 @@ def resolve_entities(names: DataFrame, threshold: float = COSINE) -> DataFrame:
     Groups by form hang on their shortest, then first name; pairs with conflicting numbers stay apart. The canonical
     name is the longest of the component (then the last in order) without its configuration.
     """
-    given = durable(names.select("type", "name").filter("name is not null and type is not null").distinct().withColumn("norm", normal_form_column(F.col("name"))))
+    given = durable(names.select("type", "name").filter("name is not null and type is not null").distinct().withColumn("norm", normal_form(F.col("name"))))
     tagged = given.withColumn("digits", numbers(F.col("name")))
 
     def star(form: Column) -> DataFrame:
@@ -141,7 +115,7 @@ def resolve_entities(names: DataFrame, threshold: float = COSINE) -> DataFrame:
     found = connected_components(links.select(node("a").alias("a"), node("b").alias("b")))
     member = given.withColumn("node", node("name")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = member.groupBy("component").agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("root"))
-    return member.join(best, "component").select("type", "name", strip_config_column(F.col("root")).alias("canonical"))
+    return member.join(best, "component").select("type", "name", strip_config(F.col("root")).alias("canonical"))
 
 
 def alias_map(entities: DataFrame) -> DataFrame:
@@ -153,7 +127,7 @@ def alias_map(entities: DataFrame) -> DataFrame:
     own = entities.select(F.trim("name").alias("surface"), F.trim("name").alias("name"), "type")
     other = entities.select(F.trim("name").alias("name"), "type", F.explode("aliases").alias("surface")).select(F.trim("surface").alias("surface"), "name", "type")
     every = own.unionByName(other.select("surface", "name", "type")).filter(valid_name(F.col("surface")) & valid_name(F.col("name")))
-    keyed = every.select(F.lower(strip_config_column(F.col("surface"))).alias("key"), "name", "type", (strip_config_column(F.col("name")) == F.col("name")).alias("plain"))
+    keyed = every.select(F.lower(strip_config(F.col("surface"))).alias("key"), "name", "type", (strip_config(F.col("name")) == F.col("name")).alias("plain"))
     names = keyed.groupBy("key").agg(F.max_by("name", F.struct(F.col("plain"), F.length("name"), F.col("name"))).alias("canonical"))
     kinds = keyed.groupBy("key", "type").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("type", F.struct("c", "type")).alias("type"))
     return names.join(kinds, "key")
@@ -173,7 +147,7 @@ def merged_aliases(entities: DataFrame) -> DataFrame:
 
 def endpoint_key(column: str) -> Column:
     """The key of an alias map that a relation's end is looked up by."""
-    return F.lower(strip_config_column(F.trim(F.col(column))))
+    return F.lower(strip_config(F.trim(F.col(column))))
 
 
 def resolve_endpoint(df: DataFrame, column: str, aliases: DataFrame, out: str, strict: bool = True) -> DataFrame:

@@ -47,7 +47,7 @@ def heading(line: Column) -> Column:
     bare = F.lower(F.regexp_replace(trimmed, r"[.:]+$", ""))
     words = F.transform(F.split(bare, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100)))
     numbered = F.nullif(F.regexp_extract(trimmed, NUMBERED_HEADING, 2), F.lit(""))
-    title = F.when(bare.isin(BARE_HEADINGS), F.array_join(words, " ")).otherwise(F.trim(numbered))
+    title = F.when(bare.isin(BARE_HEADINGS), F.array_join(words, " ")).otherwise(F.nullif(F.regexp_replace(F.trim(numbered), "[.:]+$", ""), F.lit("")))
     return F.when((F.length(trimmed) > 0) & (F.length(trimmed) <= 80), title)
 
 
@@ -141,3 +141,37 @@ def estimate_tokens(text: str) -> int:
 
 
 PARAGRAPH_BREAK, SENTENCE_BREAK = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+")
+_NUMBERED = re.compile(NUMBERED_HEADING)
+_BARE = {h: " ".join(w[:1].upper() + w[1:] for w in h.split(" ")) for h in BARE_HEADINGS}
+
+
+def section_tiles(text: str) -> list[tuple[str, int, int]]:
+    """(title, char_start, char_end) of one text's sections, as `detect_sections` has them, for use inside a batch."""
+    marks, at = [], 0
+    for line in text.split("\n"):
+        said = line.strip(" ")
+        if 0 < len(said) <= 80:
+            title = _BARE.get(said.rstrip(".:").lower())
+            if title is None and (found := _NUMBERED.match(said)):
+                title = found[2].strip(" ").rstrip(".:")
+            if title:
+                marks.append((title, at))
+        at += len(line) + 1
+    if not marks:
+        return [("Body", 0, len(text))]
+    if marks[0][1] > 0:
+        marks.insert(0, ("Front Matter", 0))
+    return [(title, start, end) for (title, start), (_, end) in zip(marks, [*marks[1:], ("", len(text))])]
+
+
+def parse_pages(blocks: DataFrame, doc: str, page: str, width: str, least: int = LEAST_TEXT) -> DataFrame:
+    """(doc, text): the text of each document from its page blocks: reading order, furniture off, cleaned (A4, B1).
+
+    Documents of fewer than `least` characters are dropped.
+    """
+    placed = blocks.withColumn("__page", F.struct(F.col(doc).alias("d"), F.col(page).alias("p")))
+    pages = reading_order(placed, "__page", width).select(F.col("__page.d").alias(doc), F.col("__page.p").alias(page), "text")
+    kept = strip_repeated_lines(pages, doc, page, "text")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col("text").alias("t")))), lambda x: x["t"]), "\n\n")
+    whole = kept.groupBy(doc).agg(joined.alias("text")).withColumn("text", clean_text(F.col("text")))
+    return whole.filter(F.length("text") >= least)

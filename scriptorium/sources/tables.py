@@ -14,6 +14,8 @@ BROADCAST_BYTES = 16_000_000
 FIXED_BYTES = 8
 #: Where the files of a durable frame lie, kept on the frame.
 _PATH = "_scriptorium_path"
+#: Whether a frame was small enough to be marked for broadcast, kept on the frame.
+_SMALL = "_scriptorium_small"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +96,15 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     Beyond the limit Catalyst and AQE choose a shuffled join, so results never depend on the choice.
     """
     out, _, size = measured(df)
-    return F.broadcast(out) if size <= (BROADCAST_BYTES if limit is None else limit) else out
+    if size <= (BROADCAST_BYTES if limit is None else limit):
+        out = F.broadcast(out)
+        setattr(out, _SMALL, True)
+    return out
+
+
+def hinted(df: DataFrame, like: DataFrame) -> DataFrame:
+    """`df`, a projection of `like`, marked for broadcast if `like` is: a projection hides the mark from the join."""
+    return F.broadcast(df) if getattr(like, _SMALL, False) else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from scriptorium.functions.tokens import lexical_tokens, span_id, token_estimate
@@ -81,3 +83,45 @@ def test_oversized_paragraph_is_split():
     assert len(units) > 1 and all(text.estimate_tokens(giant[a:b]) < 400 for a, b in units)
     pieces = chunking.sentence_spans(giant, (0, len(giant)), 100)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(giant) and all(x[1] == y[0] for x, y in zip(pieces, pieces[1:]))
+
+
+def test_tiles_equal_the_native_sections(spark):
+    rng = random.Random(4)
+    lines = ["Abstract", "1 Introduction", "2.1 Related work:", "RESULTS:", "Conclusion.", "plain line", "", "  III. Method  ", "A Data-driven view", "x" * 90, "7 Ab", "3 " + "Long " * 20]
+    docs = {f"d{i}": "\n".join(rng.choice(lines) for _ in range(rng.randrange(12))) for i in range(60)}
+    rows = text.detect_sections(spark.createDataFrame(list(docs.items()), "k string, text string"), "k").collect()
+    for key, said in docs.items():
+        assert [(r.title, r.char_start, r.char_end) for r in sorted((r for r in rows if r.k == key), key=lambda r: r.ordinal)] == text.section_tiles(said)
+    assert [t for t, _, _ in text.section_tiles("2.1 Related work:\nx")] == ["Related work"]
+
+
+def test_packing_equals_a_running_budget():
+    rng = random.Random(9)
+    for _ in range(200):
+        words = [" ".join(["w"] * rng.randrange(1, 30)) for _ in range(rng.randrange(1, 25))]
+        said, spans = "\n\n".join(words), []
+        spans = chunking.paragraph_spans(said)
+        target, overlap = rng.randrange(10, 60), rng.randrange(0, 30)
+        atoms = [p for s in spans for p in (chunking.sentence_spans(said, s, target) if text.estimate_tokens(said[s[0] : s[1]]) > target else [s])]
+        costs = [text.estimate_tokens(said[a:b]) for a, b in atoms]
+        want, held = [], []
+        for i in range(len(atoms)):
+            if held and sum(costs[j] for j in held) + costs[i] > target:
+                want.append((atoms[held[0]][0], atoms[held[-1]][1]))
+                while held and sum(costs[j] for j in held) > overlap:
+                    held = held[1:]
+            held = [*held, i]
+        assert chunking.pack(said, spans, target, overlap) == [*want, (atoms[held[0]][0], atoms[held[-1]][1])]
+
+
+def test_no_text_is_shuffled(spark):
+    docs = spark.createDataFrame([(f"p{i}", DOC) for i in range(40)], "k string, text string").repartition(8)
+    assert "Exchange" not in chunking.build_chunks(docs, "k")._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
+def test_pages_to_text(spark):
+    block = "doc string, page int, width double, x0 double, y0 double, x1 double, y1 double, text string, block_type int"
+    rows = [("a", p, 600.0, 20.0, y, 580.0, y + 10, said, 0) for p in range(5) for y, said in ((1.0, "Journal"), (50.0, f"Page {p} says retrie-"), (80.0, "val works. " * 20))]
+    rows += [("b", 0, 600.0, 20.0, 1.0, 580.0, 9.0, "too short", 0)]
+    got = text.parse_pages(spark.createDataFrame(rows, block), "doc", "page", "width").collect()
+    assert [r.doc for r in got] == ["a"] and "Journal" not in got[0].text and "Page 3 says retrieval works." in got[0].text
