@@ -162,8 +162,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(_bm25_sql("question", 8) + " SELECT term, df, round(idf, 6) AS idf FROM s")
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and idf of every term."""
-    docs = read_table(spark, d, "documents")
-    return retrieval.term_statistics(retrieval.postings(docs, "doc_id", "text"), docs).select("term", "df", F.round("idf", 6).alias("idf"))
+    index = retrieval.build_index(read_table(spark, d, "documents"), "doc_id", "text")
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 _VECTORS = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, e.label = q.label AS hit, round(coalesce(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 0), 6) AS score
@@ -202,11 +202,21 @@ SELECT id, doc_id, score, source, CAST(row_number() OVER (PARTITION BY id ORDER
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """The rankings of questions and of their references fused."""
     gold, docs = read_table(spark, d, "gold"), read_table(spark, d, "documents")
-    lists = [(c, retrieval.bm25_search(gold, "id", c, docs, "doc_id", "text", 20)) for c in ("question", "reference")]
+    index = retrieval.build_index(docs, "doc_id", "text")
+    lists = [(c, retrieval.search_index(gold, "id", c, index, "doc_id", 20)) for c in ("question", "reference")]
     return retrieval.fuse(lists, "id", "doc_id", 8)
 
 
-@query()
+_HASHED = """(SELECT {key}, list_transform(range(64), lambda b: CAST(len(list_filter(h, lambda x: x = b)) AS DOUBLE)) AS v
+FROM (SELECT {key}, list_transform(coalesce(regexp_extract_all(lower({text}), '[a-z0-9]+'), []), lambda w: CAST('0x' || left(md5(w), 6) AS BIGINT) % 64) AS h FROM {table}))"""
+
+
+@query(_bm25_sql("question", 20) + f""", dv AS {_HASHED.format(key="doc_id", text="text", table="documents")}, qv AS {_HASHED.format(key="id", text="question", table="gold")},
+vs AS (SELECT id, doc_id, round(coalesce(CASE WHEN isnan(list_cosine_similarity(qv.v, dv.v)) THEN 0 ELSE list_cosine_similarity(qv.v, dv.v) END, 0), 6) AS score FROM qv, dv),
+vk AS (SELECT id, doc_id, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM vs QUALIFY rank <= 20),
+u AS (SELECT id, doc_id, rank, 'vector' AS source, 0 AS list FROM vk UNION ALL SELECT id, doc_id, rank, 'bm25', 1 FROM k WHERE score > 0),
+g AS (SELECT id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS source, min(list * 1000 + rank) AS first FROM u GROUP BY 1, 2)
+SELECT id, doc_id, score, source, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, first, doc_id) AS INT) AS rank FROM g QUALIFY rank <= 8""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and vector ranking of all documents for every question, fused."""
     return retrieval.hybrid_search(read_table(spark, d, "gold"), "id", "question", read_table(spark, d, "documents"), "doc_id", "text")

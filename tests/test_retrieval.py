@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import answering, evaluation, retrieval
+from scriptorium.sources.indexes import VectorStore
 
 
 def ranked(spark, keys):
@@ -26,6 +28,39 @@ def test_bm25_finds_terms(spark):
     assert retrieval.bm25_search(asked, "q", "text", docs.limit(0), "d", "text").count() == 0
 
 
+def test_blocks_and_batches_change_nothing(spark, monkeypatch, tmp_path):
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(rng.randrange(12)) or None) for i in range(60)] + [(99, "")], "d int, text string")
+    asked = spark.createDataFrame([(f"q{i}", say(4)) for i in range(9)], "q string, text string")
+    index = retrieval.build_index(docs, "d", "text")
+    index.save(str(tmp_path / "index"))
+    stored = retrieval.LexicalIndex.load(spark, str(tmp_path / "index"))
+    vectors = docs.select("d", retrieval.hashed_embedding(F.col("text")).alias("vector"))
+    both = lambda i: ([tuple(r) for r in retrieval.search_index(asked, "q", "text", i, "d", 5).orderBy("q", "rank").collect()],
+                      [tuple(r) for r in retrieval.hybrid_search(asked, "q", "text", docs, "d", "text", 5, index=i, vectors=vectors).orderBy("q", "rank").collect()])
+    want = both(index)
+    assert want == both(stored) and len(want[0]) == 45
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 7)
+    assert both(index) == want
+    plan = retrieval.search_index(asked, "q", "text", index, "d", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_vector_store_replaces_papers(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "v"))
+    chunks = lambda rows: spark.createDataFrame(rows, "chunk_id string, paper_id string, text string")
+    assert store.count() == 0 and store.add(chunks([("a1", "a", "graph index"), ("a2", "a", "more"), ("b1", "b", "sparse terms"), ("b1", "b", "sparse terms")])) == 3
+    assert store.add(chunks([("a3", "a", "graph queries"), ("n", None, None)])) == 2 and store.count() == 3
+    asked = spark.createDataFrame([("q", "sparse terms")], "q string, text string")
+    assert store.search(asked, "q", "text", 1).first().chunk_id == "b1"
+    store.delete_paper("b")
+    assert store.count() == 2 and len(store.table.versions()) == 1
+    store.reset()
+    assert store.count() == 0 and store.search(asked, "q", "text", 1).count() == 0
+
+
 def test_vector_search(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "v int, e array<float>")
     asked = rows.filter("v = 1").select(F.col("v").alias("q"), "e")
