@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scriptorium.operators.backend import Backend
+
 #: Most entities, relations and results of a window.
 MOST = {"entities": 60, "relations": 40, "results": 12}
 FAILED = "failed"
@@ -22,7 +24,10 @@ def done_windows(log: DataFrame) -> DataFrame:
 
 
 def salvage(raw: Column, schema: str, required: list[str]) -> Column:
-    """A struct from text that holds JSON: as it is, in a fenced block, or between the outermost braces; else null."""
+    """A struct from text that holds JSON: as it is, in any fenced block, or between the outermost braces; else null (E5).
+
+    The first of them that parses and has the required fields counts.
+    """
 
     def parsed(text: Column) -> Column:
         value = F.from_json(text, schema)
@@ -31,8 +36,9 @@ def salvage(raw: Column, schema: str, required: list[str]) -> Column:
             whole = whole & value[name].isNotNull()
         return F.when(whole, value)
 
-    fence = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.coalesce(parsed(raw), parsed(fence), parsed(F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
+    fences = F.regexp_extract_all(raw, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))
+    fenced = F.get(F.filter(F.transform(fences, parsed), lambda v: v.isNotNull()), F.lit(0))
+    return F.coalesce(parsed(raw), fenced, parsed(F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
 
 
 def is_valid(extraction: str = "extraction") -> Column:
@@ -51,9 +57,37 @@ def prompt(title: Column, sections: Column, text: Column) -> Column:
     return F.concat(F.lit("Paper: "), title, F.lit("\nSections: "), named, F.lit("\n\n```\n"), text, F.lit("\n```"))
 
 
-def run_extraction(windows: DataFrame, make_backend: Callable[[], Callable[[str], str]], schema: str) -> DataFrame:
-    """One ok or failed record for each window; a failure never stops the run. The backend is made once a task."""
+#: Fixed value: tokens of an extraction's answer. The system prompt is the same for every window, so providers may cache it.
+EXTRACTION_TOKENS, CACHE_KEY = 32_000, "scriptorium-extraction-1"
+SYSTEM = (
+    "Extract what the excerpt states: entities (name, type, aliases, description), relations (subject, predicate, object, evidence,"
+    " confidence) and results (method, dataset, metric, value, evidence). Types: Author, Institution, Task, Method, Dataset, Metric, Paper."
+    " Predicates: AUTHORED_BY, AFFILIATED_WITH, ADDRESSES, PROPOSES, USES, EVALUATES_ON, REPORTS, BUILDS_ON, COMPARES_TO."
+    " Names as written; evidence quoted from the excerpt; nothing that it does not state. Answer as JSON."
+)
+EXTRACTED = (
+    "entities array<struct<name:string,type:string,aliases:array<string>,description:string>>,"
+    "relations array<struct<subject:string,predicate:string,object:string,evidence:string,confidence:double>>,"
+    "results array<struct<method:string,dataset:string,metric:string,value:double,evidence:string>>"
+)
+
+
+def run_extraction(windows: DataFrame, make_backend: Callable[[], Backend], schema: str = EXTRACTED, titles: DataFrame | None = None, done: DataFrame | None = None, limit: int | None = None, checked: bool = True) -> DataFrame:
+    """One ok or failed record for each window that `done` (window_id) does not hold; a failure never stops the run.
+
+    `titles` has paper_id and title. `limit` takes the first pending windows in order. The backend is made once a task. An
+    answer without the required fields, over the list limits or with a confidence out of range is a failed record;
+    `checked` is off for schemas without those lists.
+    """
+    todo = windows if done is None else windows.join(done.select("window_id"), "window_id", "left_anti")
+    if limit is not None:
+        todo = todo.orderBy("window_id").limit(limit)
+    title = F.lit("")
+    if titles is not None:
+        todo = todo.join(titles.filter("title is not null").groupBy("paper_id").agg(F.max("title").alias("__title")), "paper_id", "left")
+        title = F.coalesce("__title", "paper_id", F.lit(""))
     kind = windows.schema["window_id"].dataType.simpleString()
+    carried = [c for c in ("paper_id", "char_start", "char_end") if c in windows.columns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make_backend()
@@ -61,10 +95,26 @@ def run_extraction(windows: DataFrame, make_backend: Callable[[], Callable[[str]
             out = []
             for window_id, text in zip(frame["window_id"], frame["prompt"]):
                 try:
-                    out.append((window_id, "ok", backend(text), None))
+                    out.append((window_id, backend.complete(SYSTEM, text, EXTRACTION_TOKENS), None))
                 except Exception as error:  # noqa: BLE001 - the record keeps it
-                    out.append((window_id, FAILED, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(out, columns=["window_id", "status", "raw", "error"])
-
-    said = windows.select("window_id", prompt(F.lit(""), F.col("sections"), F.col("text")).alias("prompt"))
-    return said.mapInPandas(run, f"window_id {kind}, status string, raw string, error string").withColumn("extraction", salvage(F.col("raw"), schema, ["entities"]))
+                    out.append((window_id, None, f"{type(error).__name__}: {str(error)[:300]}"))
+            yield pd.concat([pd.DataFrame(out, columns=["window_id", "raw", "error"]), frame[carried].reset_index(drop=True)], axis=1)
+
+    said = todo.select("window_id", *carried, prompt(title, F.col("sections"), F.col("text")).alias("prompt"))
+    kinds = ", ".join([f"window_id {kind}", "raw string", "error string", *[f"{c} {windows.schema[c].dataType.simpleString()}" for c in carried]])
+    answers = said.mapInPandas(run, kinds).withColumn("extraction", salvage(F.col("raw"), schema, ["entities"]))
+    fine = F.col("extraction").isNotNull() & (is_valid() if checked else F.lit(True))
+    error = F.when(~fine, F.coalesce("error", F.when(F.col("extraction").isNull(), "no valid answer").otherwise("answer over its limits")))
+    return answers.select("window_id", *carried, F.when(fine, "ok").otherwise(FAILED).alias("status"), error.alias("error"), F.when(fine, F.col("extraction")).alias("extraction"), "raw")
+
+
+def run_summary(windows: DataFrame, done: DataFrame, records: DataFrame) -> DataFrame:
+    """(windows_total, already_done, attempted, succeeded, failed) of a run (E3); what a limit cut off is not counted as done."""
+    total = windows.select("window_id").distinct()
+    one = lambda df, *cols: df.agg(*cols)
+    n = F.count(F.lit(1))
+    return (
+        one(total, n.alias("windows_total"))
+        .crossJoin(one(total.join(done.select("window_id"), "window_id", "left_semi"), n.alias("already_done")))
+        .crossJoin(one(records, n.alias("attempted"), F.count_if(F.col("status") == "ok").alias("succeeded"), F.count_if(F.col("status") != "ok").alias("failed")))
+    )

@@ -35,17 +35,65 @@ def test_salvage(spark):
 
 
 def test_run_keeps_failures(spark):
-    def make():
-        def call(prompt):
-            if "bad" in prompt:
+    class Model:
+        def complete(self, system, user, max_tokens):
+            if "bad" in user:
                 raise RuntimeError("no")
-            return '{"entities": ["x"]}'
-
-        return call
-
-    windows = spark.createDataFrame([("w1", "good", ["A"]), ("w2", "bad", None)], "window_id string, text string, sections array<string>")
-    got = {r.window_id: r for r in extraction.run_extraction(windows, make, "entities array<string>").collect()}
-    assert got["w1"].extraction.entities == ["x"] and got["w2"].status == "failed" and "no" in got["w2"].error
+            if "long" in user:
+                return json.dumps({"entities": [{"name": str(i)} for i in range(61)]})
+            if "sure" in user:
+                return json.dumps({"entities": [], "relations": [{"subject": "a", "confidence": 1.5}]})
+            return "nothing" if "empty" in user else 'so ```x``` and ```json\n{"entities": [{"name": "x"}]}\n```'
+
+    rows = [("w1", "p", "good", ["A"]), ("w2", "p", "bad", None), ("w3", "p", "long", None), ("w4", "q", "sure", None), ("w5", "q", "empty", None), ("w6", "q", "good", None)]
+    windows = spark.createDataFrame(rows, "window_id string, paper_id string, text string, sections array<string>")
+    titles, done = spark.createDataFrame([("p", "A title"), ("p", None)], "paper_id string, title string"), spark.createDataFrame([("w6",)], "window_id string")
+    records = extraction.run_extraction(windows, Model, titles=titles, done=done).cache()
+    got = {r.window_id: r for r in records.collect()}
+    assert set(got) == {"w1", "w2", "w3", "w4", "w5"} and got["w1"].extraction.entities[0].name == "x" and got["w1"].paper_id == "p"
+    assert [got[f"w{i}"].status for i in range(1, 6)] == ["ok"] + ["failed"] * 4 and "no" in got["w2"].error and got["w3"].error == "answer over its limits"
+    assert extraction.run_summary(windows, done, records).first().asDict() == {"windows_total": 6, "already_done": 1, "attempted": 5, "succeeded": 1, "failed": 4}
+    assert extraction.run_extraction(windows, Model, limit=2).count() == 2
+
+
+def test_metered_calls(tmp_path):
+    class Busy(Exception):
+        status = 503
+
+    class Model:
+        calls, usage, truncated = 0, backend.Usage(1_000_000, 0), False
+
+        def complete(self, system, user, max_tokens):
+            self.calls += 1
+            if self.calls == 1:
+                raise Busy
+            return "fine"
+
+    slept = []
+    meter = backend.Meter({"m": (1.0, 5.0)}, limit=2.5)
+    model = backend.MeteredBackend(Model(), meter, "answer", "m", sleep=slept.append)
+    assert model.complete("s", "u") == "fine" and len(slept) == 1 and meter.cost() == 1.0
+    with meter.scoped("run") as inner:
+        assert inner.limit == 1.5
+        model.meter = inner
+        model.complete("s", "u")
+        model.complete("s", "u")
+        with pytest.raises(backend.BudgetExceeded):
+            model.complete("s", "u")
+    model.meter = meter
+    assert meter.totals() == {"answer": {"calls": 3, "tokens": 3_000_000, "cost": 3.0}} and [r[0] for r in meter.rows] == ["", "run", "run"]
+    with pytest.raises(backend.BudgetExceeded):
+        model.complete("s", "u")
+    meter.write(str(tmp_path / "usage.json"))
+    assert json.loads((tmp_path / "usage.json").read_text())["cost"] == 3.0
+    model.inner.truncated, meter.limit = True, None
+    with pytest.raises(backend.Truncated):
+        model.complete("s", "u")
+    ticks = iter(range(100))
+    assert backend.probe(backend.RuleBackend(), 4, lambda: next(ticks))["median_s"] == 1
+    assert backend.parse_json('x {"a": 1} y', ["a"]) == {"a": 1} and backend.parse_json('```json\n{"a": 2}\n```', ["a"]) == {"a": 2}
+    with pytest.raises(ValueError):
+        backend.parse_json("none", ["a"])
 
 
 def test_bucket_retry_and_cost(spark):

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import answering, evaluation, retrieval
+from scriptorium.operators import answering, backend, evaluation, retrieval
+from scriptorium.operators.match import Graph
 from scriptorium.sources.indexes import VectorStore
 
 
@@ -94,6 +95,105 @@ def test_routes(spark):
     assert {r.q: r.m for r in rows} == said
 
 
+LABELLED = {
+    "What benchmark datasets are used across this collection of papers?": "global", "How do the retrieval approaches in this corpus relate to each other?": "global",
+    "What application domains do these papers cover?": "global", "Give me an overview of the retrieval techniques represented here.": "global",
+    "What are the main research themes across these papers?": "global", "How many papers here work on visual question answering?": "graph",
+    "Count the distinct evaluation datasets across all of these papers.": "graph", "Which task is addressed by the largest number of methods in this collection?": "graph",
+    "Which datasets use both?": "graph", "Why is negative sampling important?": "hybrid", "What is the main theme?": "hybrid",
+}
+
+
+def test_labelled_routes(spark):
+    rows = spark.createDataFrame([(q,) for q in LABELLED], "q string").select("q", answering.route(F.col("q")).alias("m")).collect()
+    assert {r.q: r.m for r in rows} == LABELLED and {q: answering.choose_mode(q)[0] for q in LABELLED} == LABELLED
+
+    class Model:
+        def __init__(self, mode):
+            self.mode = mode
+
+        def parse(self, system, user, fields, max_tokens):
+            if self.mode is None:
+                raise RuntimeError("down")
+            return {"mode": self.mode, "reason": "said"}
+
+    assert [answering.choose_mode("Why?", Model(m))[0] for m in ("vector", "sql", None)] == ["vector", "hybrid", "hybrid"]
+    assert answering.choose_mode("How many papers use BERT?", Model("vector"))[0] == "graph"
+
+
+class Scripted:
+    """A model that writes the given graph queries in turn, and answers with the first source."""
+
+    def __init__(self, *queries):
+        self.queries, self.asked = list(queries), []
+
+    def complete(self, system, user, max_tokens):
+        if system.startswith(answering.QUERY_PROMPT):
+            self.asked.append(user)
+            return self.queries.pop(0)
+        return "It is so [1] [9]."
+
+    def parse(self, system, user, fields, max_tokens):
+        return {"mode": "vector", "reason": ""}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "p", f"text {i} word{i}") for i in range(6)] + [("c0", "p", "text 0 word0")], "chunk_id string, paper_id string, text string")
+    edges = spark.createDataFrame([("USES", "Method", "MossRank", "Dataset", "Harbor QA", 1.0)], "rel string, src_label string, src string, dst_label string, dst string, confidence double")
+    communities = spark.createDataFrame([("c0", "Ranking", "about ranking", 4), ("c1", "", "", 3)], "community_id string, title string, summary string, size int")
+    return answering.Corpus(chunks, Graph(edges), communities)
+
+
+GOOD = "```cypher\nMATCH (m:Method)-[:USES]->(d:Dataset) RETURN m.name AS m, d.name AS d\n```"
+
+
+def test_dispatch_and_fallbacks(spark, corpus):
+    got = answering.ask("How many methods use Harbor QA?", corpus, Scripted(GOOD))
+    assert (got.mode, got.fell_back, got.rows) == ("graph", False, [{"m": "MossRank", "d": "Harbor QA"}]) and got.hits[0][0] == "graph-result"
+    assert "1. m=MossRank, d=Harbor QA" in got.hits[0][1] and got.cited == ["graph-result"] and got.dropped == [9]
+    model = Scripted("MATCH (m) DELETE m", GOOD)
+    assert answering.run_graph_query("q", corpus.graph, model)[0] and "rejected" in model.asked[1]
+    model = Scripted("MATCH (m) RETURN m.nothing", "CALL x()")
+    got = answering.ask("How many are there?", corpus, model)
+    assert got.mode == "graph" and got.fell_back and got.query is None and len(model.asked) == 2 and all(h.startswith("c") for h, _ in got.hits)
+    got = answering.ask("What are the main themes?", corpus, Scripted())
+    assert [h for h, _ in got.hits] == ["community:c0"] and not got.fell_back and "Ranking" in got.hits[0][1]
+    bare = answering.Corpus(corpus.chunks)
+    assert answering.ask("What are the main themes of word3?", bare, Scripted()).fell_back
+    got = answering.ask("word3", corpus, Scripted(GOOD), k=2, mode="hybrid")
+    assert [h for h, _ in got.hits][:2] == ["graph-result", "c3"] and got.reason == "forced"
+    assert answering.ask("word3", corpus, Scripted(), k=1, mode="vector").hits == [("c3", "text 3 word3")]
+    for question, k, mode in (("x", 8, "sql"), ("", 8, None), ("x" * 2001, 8, None), ("x", 0, None), ("x", 51, None)):
+        with pytest.raises(ValueError):
+            answering.ask(question, corpus, Scripted(), k, mode)
+    assert backend.RuleBackend().complete("", "How many methods use Harbor?").startswith("MATCH (a:Method)-[]-(b) WHERE toLower(b.name) CONTAINS 'harbor' RETURN count(DISTINCT a)")
+    assert answering.ask("How many methods use Harbor?", corpus, backend.RuleBackend()).rows == [{"n": 1}]
+
+
+def test_benchmark(spark, corpus, tmp_path):
+    gold = spark.createDataFrame([("1", "what says word3", "local", "it", ["p"], None), ("2", "main themes", "global", "all", None, None)], "id string, question string, category string, reference string, relevant_papers array<string>, notes string")
+    assert evaluation.load_gold(spark, str(tmp_path / "gold"), gold).count() == 2 == evaluation.load_gold(spark, str(tmp_path / "gold")).count()
+    assert evaluation.relevant_chunks(gold, corpus.chunks).count() == 6
+    results = spark.createDataFrame(evaluation.run_benchmark(gold, corpus, backend.RuleBackend, ["bm25", "routed"], k=3).collect(), evaluation.RESULT)
+    rows = {(r.question_id, r.system): r for r in results.collect()}
+    assert len(rows) == 4 and rows["1", "bm25"].recall > 0 and rows["2", "bm25"].recall is None and rows["2", "routed"].mode == "global" and rows["1", "bm25"].correctness == 3.0
+    assert evaluation.run_benchmark(gold, corpus, backend.RuleBackend, ["bm25"], results, k=3).count() == 0
+    ranked = spark.createDataFrame([("1", "graph-result", 1), ("1", "c0", 2), ("1", "zz", 3)], "id string, chunk_id string, rank int")
+    assert evaluation.score_passages(ranked, gold, corpus.chunks, 1).first().precision == 1.0
+    assert retrieval.mean_metrics(evaluation.score_passages(ranked, gold, corpus.chunks, 1)).first().n == 1
+    assert {(r.category, r.mode, r.n) for r in evaluation.route_histogram(results.filter("system = 'routed'")).collect()} == {("local", "hybrid", 1), ("global", "global", 1)}
+    report = open(evaluation.write_report(results, str(tmp_path / "r.md"))).read()
+    assert "## Overall" in report and "| bm25 |" in report
+
+    class Odd(backend.RuleBackend):
+        def parse(self, system, user, fields, max_tokens=0):
+            return {f: 7 for f in fields}
+
+    graded = evaluation.judge_answers(spark.createDataFrame([("q", "r", None, "a")], "question string, reference string, context string, answer string"), Odd).first()
+    assert graded.correctness is None and graded.reason is None
+
+
 def test_citations(spark):
     rows = spark.createDataFrame([(1, "x [2] y [1][2]"), (2, "[1] [7]"), (3, "[0]"), (4, "none")], "k int, a string")
     got = {r.k: (r.cited, r.dropped) for r in answering.citations(rows, "k", "a", F.lit(3)).collect()}
