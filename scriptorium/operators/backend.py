@@ -56,11 +56,13 @@ def parse_json(text: str, fields: list[str]) -> dict[str, object]:
 class RuleBackend:
     """Deterministic offline model.
 
-    Answers with the source sentences that share most words with the question; a question alone becomes a graph query
+    Extracts names in capitals and what sentences say of them. Answers with the source sentences that share most words with the question; a question alone becomes a graph query
     over the labels and the name that it mentions; fields come from the first words and sentences of the text.
     """
 
     def complete(self, system: str, user: str, max_tokens: int = 1500) -> str:
+        if system.startswith("Extract"):
+            return json.dumps(self._extract(user.split("```")[1] if user.count("```") >= 2 else user))
         question, blank, sources = user.partition("\n\n")
         if not blank or not re.search(r"^\[1\] ", sources):
             return self._graph_query(question)
@@ -75,6 +77,31 @@ class RuleBackend:
         lines = [line for line in user.splitlines() if line.strip()]
         return {f: 3 if f in ("correctness", "faithfulness", "completeness") else (lines[0] if lines else "") if f == fields[0] else "; ".join(lines[1:4]) for f in fields}
 
+    @staticmethod
+    def _extract(text: str) -> dict[str, list[dict[str, object]]]:
+        """Names in capitals, told apart by the words beside them, and what one sentence says of two of them."""
+        kinds: dict[str, str] = {}
+        relations: list[dict[str, object]] = []
+        for sentence in re.split(r"(?<=[.!?])\s+", text):
+            here = []
+            for m in re.finditer(r"(?<![\w-])(?:[A-Z][\w-]*[A-Z0-9]\w*|(?:[A-Z][a-z]+)(?: (?:[A-Z][\w-]*|of|\d+))+)", sentence):
+                name = m[0].removesuffix(" of")
+                before, after = sentence[: m.start()].lower().split()[-1:], sentence[m.end() :].lower().split()[:1]
+                data = before in (["on"], ["dataset"], ["benchmark"], ["over"]) or after in (["dataset"], ["benchmark"], ["corpus"])
+                kinds.setdefault(name, "Dataset" if data else "Method")
+                here.append(name)
+            methods, data = ([n for n in here if kinds[n] == kind] for kind in ("Method", "Dataset"))
+            said = sentence.strip()[:300]
+            if methods and data:
+                predicate = "USES" if re.search(r"\bus(?:es|ed|ing)\b", sentence) and "evaluat" not in sentence else "EVALUATES_ON"
+                relations += [{"subject": methods[0], "predicate": predicate, "object": d, "evidence": said, "confidence": 0.5} for d in data[:3]]
+            if len(methods) > 1:
+                predicate = "BUILDS_ON" if re.search(r"\b(?:build|extend|based)", sentence) else "COMPARES_TO" if re.search(r"\b(?:compar|outperform|than)", sentence) else None
+                if predicate:
+                    relations.append({"subject": methods[0], "predicate": predicate, "object": methods[1], "evidence": said, "confidence": 0.5})
+        entities = [{"name": n, "type": kind, "aliases": [], "description": ""} for n, kind in list(kinds.items())[:60]]
+        return {"entities": entities, "relations": relations[:40], "results": []}
+
     @staticmethod
     def _graph_query(question: str) -> str:
         words = re.findall(r"[A-Za-z0-9][\w.@-]*", question)

@@ -145,6 +145,13 @@ def merged_aliases(entities: DataFrame) -> DataFrame:
     return named.select("key", "canonical").join(typed(named, "canonical"), "canonical").select("key", "canonical", "type")
 
 
+def merge_audit(entities: DataFrame) -> DataFrame:
+    """(type, canonical, merged) of the names that were merged under another, in order."""
+    valid = entities.filter(valid_name(F.col("name"))).select("type", F.trim("name").alias("name"))
+    merged = resolve_entities(valid).groupBy("type", "canonical").agg(F.array_sort(F.collect_set("name")).alias("merged"))
+    return merged.filter(F.size("merged") > 1)
+
+
 def endpoint_key(column: str) -> Column:
     """The key of an alias map that a relation's end is looked up by."""
     return F.lower(strip_config(F.trim(F.col(column))))
