@@ -67,6 +67,11 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p6(spark, sf_dir, True).select("tbl", "item_key", "piece", "char_start", "char_end", "estimate", "sections", "text")
 
 
+def p6_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets and estimates of all pieces of the oversized chunks and windows."""
+    return _p6(spark, sf_dir, False).select("tbl", "item_key", "piece", "char_start", "char_end", "estimate")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that have to be cut: those with a second piece."""
     return _p6(spark, sf_dir, False).filter("piece = 1").select("tbl", "item_key").distinct()
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_forms": p5_forms,
     "p6_found": p6_found,
+    "p6_cuts": p6_cuts,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
@@ -128,7 +134,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+def _cuts_sql() -> str:
+    """Greedy cuts by recursion over the words of each oversized text."""
+    parts = []
+    for table, key, size in (("chunks", "chunk_id", P6_CHUNKS), ("windows", "window_id", P6_WINDOWS)):
+        width, back = oversize.most_words(size["limit"]), oversize.most_words(size["overlap"])
+        parts.append(f"SELECT DISTINCT '{table}' AS tbl, {key} AS item_key, text, {width} AS width, {back} AS back FROM {table} WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) > {width}")
+    return f"""WITH RECURSIVE t AS ({" UNION ALL ".join(parts)}),
+w AS (SELECT *, regexp_extract_all(text, '[^ \t\n\r]+') AS ws, regexp_extract_all(text, '[ \t\n\r]+') AS ss, CASE WHEN regexp_matches(text, '^[ \t\n\r]') THEN 1 ELSE 0 END AS led FROM t),
+n AS (SELECT *, list_filter(range(1, len(ws)), lambda j: regexp_matches(ss[j + led], '[\n\r]') OR regexp_matches(ws[j], '[.!?。！？…]["'')\\]”’»]$') OR regexp_matches(ws[j], '[.!?。！？…]$')) AS nat FROM w),
+c AS (SELECT *, 0 AS a, CASE WHEN width >= len(ws) THEN len(ws) ELSE coalesce(list_max(list_filter(nat, lambda j: j > back AND j <= width)), width) END AS b FROM n
+UNION ALL SELECT * EXCLUDE (x), CASE WHEN x + width >= len(ws) THEN len(ws) ELSE coalesce(list_max(list_filter(nat, lambda j: j > x + back AND j <= x + width)), x + width) END
+FROM (SELECT * EXCLUDE (a, b), b - back AS a, b - back AS x FROM c WHERE b < len(ws)))
+SELECT DISTINCT tbl, item_key, CAST(row_number() OVER (PARTITION BY tbl, item_key, text ORDER BY a) - 1 AS INT) AS piece,
+CAST(CASE WHEN a = 0 THEN 0 ELSE length(array_to_string(ws[1:a], '')) + length(array_to_string(ss[1:a + led], '')) END AS INT) AS char_start,
+CAST(CASE WHEN b = len(ws) THEN length(text) ELSE length(array_to_string(ws[1:b], '')) + length(array_to_string(ss[1:b - 1 + led], '')) END AS INT) AS char_end,
+CAST(floor(1.3::DOUBLE * (b - a)) AS INT) AS estimate FROM c"""
+
+
 ORACLE: dict[str, str] = {
+    "p6_cuts": _cuts_sql(),
     "p1_found": f"""WITH t AS (SELECT DISTINCT chunk_id, {_TOKENS} AS w FROM chunks WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM t WHERE len(w) >= 20),
 n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
