@@ -8,7 +8,7 @@ the ratio is lost. Heads carry lengths, places and letters, which drop chance me
 head that more than `COMMON` values share is no block of its own: it is refined by the other field and only forms whose
 other fields are near meet in it; none is discarded. Pairs are kept by the ratio of their longest common subsequences.
 
-Links are closed to components, together with the rows that give an alias to a name. Forms that name no one alone (an
+Of its links a form keeps the one to its nearest more frequent form. They are closed to components, together with the rows that give an alias to a name. Forms that name no one alone (an
 initial, a cut given name, a proper name or code without generic words) never link others: each joins the entity that
 most rows give it, else, for persons, the nearest that fits, the most frequent one if several do.
 
@@ -291,6 +291,20 @@ def link_forms(forms: DataFrame, common: int | None = None) -> DataFrame:
     return links.unionByName(met.filter(_ratio()("x", "y") >= RATIO_NAME).select("a", "b")).distinct()
 
 
+def nearest_links(links: DataFrame, forms: DataFrame) -> DataFrame:
+    """Of all links (a, b) of `forms` (form, x1, x2, n), for each form the one to the nearest form that stands more often.
+
+    A form without a more frequent one keeps the link to its nearest form. So a misspelling that is near two frequent
+    names belongs to the nearer one and does not join them. Ties go to the more frequent form, then to the last in order.
+    """
+    side = lambda x: forms.select(F.col("form").alias(x), F.col("x1").alias(f"{x}1"), F.col("x2").alias(f"{x}2"), F.col("n").alias(f"n{x}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").withColumn("near", _ratio()("a1", "b1") + _ratio()("a2", "b2"))
+    ways = F.array(*[F.struct(F.col(x).alias("form"), F.col(y).alias("other"), F.col(f"n{x}").alias("own"), F.col(f"n{y}").alias("n")) for x, y in ("ab", "ba")])
+    said = both.select("near", F.explode(ways).alias("w")).select("near", "w.*")
+    higher = F.struct("n", "other") > F.struct(F.col("own").alias("n"), F.col("form").alias("other"))
+    return said.groupBy("form").agg(F.max_by("other", F.struct(higher.alias("higher"), "near", "n", "other")).alias("other")).select(F.col("form").alias("a"), F.col("other").alias("b"))
+
+
 def _map(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,7 +384,8 @@ def link_names(people: DataFrame | None, organisations: DataFrame | None, aliase
     named = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     named = durable(named.select("s", F.concat_ws(" ", "kind", "x2", "x1").alias("form"), "x1", "x2", (F.col("x2").endswith(".") | (F.col("x2") == "")).alias("short"), "n"))
     forms = durable(named.groupBy("form", "x1", "x2", "short").agg(F.sum("n").alias("n")))
-    links, rows = link_forms(forms.filter("not short").select("form", "x1", "x2")), None
+    whole = forms.filter("not short").select("form", "x1", "x2", "n")
+    links, rows = nearest_links(link_forms(whole), whole), None
     if aliases is not None:
         side = lambda name: named.select(F.left("form", F.lit(1)).alias("kind"), F.col("s").alias(name), F.col("form").alias(f"{name}_form"), F.col("short").alias(f"{name}_short"))
         given = aliases.filter("name is not null and alias is not null").groupBy("kind", "name", "alias").agg(F.count(F.lit(1)).alias("times"))
@@ -378,7 +393,7 @@ def link_names(people: DataFrame | None, organisations: DataFrame | None, aliase
         rows = durable(rows.groupBy("name_form", "name_short", "alias_form", "alias_short").agg(F.sum("times").alias("times")))
         links = links.unionByName(rows.filter("not name_short and not alias_short").select(F.col("name_form").alias("a"), F.col("alias_form").alias("b")))
     nodes = connected_components(links)
-    entities = forms.filter("not short").join(nodes, F.col("form") == F.col("node"), "left").select("form", "x1", "x2", "n", F.coalesce("component", "form").alias("entity"))
+    entities = whole.join(nodes, F.col("form") == F.col("node"), "left").select("form", "x1", "x2", "n", F.coalesce("component", "form").alias("entity"))
     entities = durable(entities)
     every = entities.select("form", "entity").unionByName(_attach(forms.filter("short"), entities, rows))
     return named.select("s", "form").join(every, "form").select("s", "entity")
