@@ -49,13 +49,15 @@ def schema_ddl() -> list[str]:
 
 
 def schema_text() -> str:
-    """Labels with their keys, relations with their ends and properties, for a prompt."""
-    out = ["Node tables:", *[f"  ({label}) primary key: {key}" for label, (key, _) in NODE_TABLES.items()], "", "Relationship tables:"]
-    for rel in dict.fromkeys(r for r, _, _ in SIGNATURES):
-        ends = "; ".join(f"{a} -> {b}" for r, a, b in SIGNATURES if r == rel)
-        props = [p.split(" ")[0] for p in [*RELATION_PROPERTIES.get(rel, []), *PROVENANCE]]
-        out.append(f"  -[:{rel}]-> {ends}   [props: {', '.join(props)}]")
-    return "\n".join([*out, f"  -[:IN_COMMUNITY]-> {'; '.join(f'{label} -> Community' for label in MEMBER_LABELS)}"])
+    """What a prompt has to know of the graph: labels with key and properties, relations with ends and properties."""
+    named = lambda props: ", ".join(p.split(" ")[0] for p in props)
+    labels = [f"{label}: key {key}; {named(props)}" for label, (key, props) in NODE_TABLES.items()]
+    ends: dict[str, list[str]] = {}
+    for rel, a, b in [*SIGNATURES, *(("IN_COMMUNITY", label, "Community") for label in MEMBER_LABELS)]:
+        ends.setdefault(rel, []).append(f"({a})->({b})")
+    own = {rel: named([*RELATION_PROPERTIES.get(rel, []), *([] if rel == "IN_COMMUNITY" else PROVENANCE)]) for rel in ends}
+    relations = [f"{rel}: {' '.join(pairs)}" + (f"; {own[rel]}" if own[rel] else "") for rel, pairs in ends.items()]
+    return "\n".join(["Labels", *labels, "Relations", *relations])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
