@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.operators.resolution import endpoint_key, merged_aliases
-from scriptorium.sources.tables import broadcast_if_small, durable, hinted
+from scriptorium.sources.tables import broadcast_if_small, durable, hinted, measured_once
 
 #: Which labels each relation may join.
 SIGNATURES = [
@@ -125,7 +125,7 @@ def resolved_relations(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     Ends are looked up by `endpoint_key` in `aliases` (key, canonical, type). The alias side is broadcast where it is few
     bytes (measured); beyond that AQE splits the shuffled join at ends that many relations share.
     """
-    table = broadcast_if_small(aliases.select("key", "canonical", "type"))
+    table = measured_once(aliases)
     side = lambda n: table.select(F.col("key").alias(f"k_{n}"), F.col("canonical").alias(f"name_{n}"), F.col("type").alias(f"label_{n}"))
     keyed = rows.withColumn("k_s", endpoint_key("subject")).withColumn("k_o", endpoint_key("object"))
     return keyed.join(hinted(side("s"), table), "k_s", "left").join(hinted(side("o"), table), "k_o", "left")
@@ -164,7 +164,7 @@ def reports_edges(claims: DataFrame, aliases: DataFrame) -> DataFrame:
     Claims without a metric are dropped, the others are not deduplicated; method and dataset are resolved leniently (F11)
     and cut; a null value is 0.
     """
-    table = broadcast_if_small(aliases.select("key", "canonical"))
+    table = measured_once(aliases)
     said = claims.withColumn("metric", F.trim("metric")).filter("metric <> '' and paper_id is not null")
     for column in ("method", "dataset"):
         side = hinted(table.select(F.col("key").alias(f"k_{column}"), F.col("canonical").alias(f"c_{column}")), table)
@@ -184,7 +184,7 @@ def build_graph(papers: DataFrame, log: DataFrame, entities: DataFrame, claims:
     properties. Edges: AUTHORED_BY, the relations, REPORTS. Summary: entities, relations written and relations dropped:
     an unknown end, no predicate or no metric, an end that is no node, or a signature that is not allowed; repeats are neither.
     """
-    aliases = durable(merged_aliases(entities))
+    aliases = broadcast_if_small(merged_aliases(entities))
     both = durable(resolved_relations(relations(log), aliases))
     first = durable(_first_edges(both))
     said = _signed(first).select(

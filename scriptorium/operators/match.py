@@ -321,10 +321,11 @@ class _Run:
     # ---- expressions
     def with_properties(self, frame: DataFrame, start: int) -> DataFrame:
         """`frame` with the node properties that the clause at `start` names."""
-        tokens, depth = self.reader.tokens, 0
+        tokens = self.reader.tokens
         for at in range(start, len(tokens) - 2):
             said = tokens[at].said
-            if depth == 0 and tokens[at].kind == "word" and said.upper() in _CLAUSES - {"ORDER", "SKIP", "LIMIT"} and at > start:
+            part = at > start and tokens[at - 1].said.upper() in ("STARTS", "ENDS")
+            if tokens[at].kind == "word" and said.upper() in _CLAUSES - {"ORDER", "SKIP", "LIMIT"} and at > start and not part:
                 break
             if tokens[at].kind == "word" and tokens[at + 1].said == "." and tokens[at + 2].kind == "word":
                 node, prop = said, tokens[at + 2].said

@@ -96,12 +96,17 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     Beyond the limit Catalyst and AQE choose a shuffled join, so results never depend on the choice.
     """
     out, _, size = measured(df)
-    if size <= (BROADCAST_BYTES if limit is None else limit):
-        out = F.broadcast(out)
-        setattr(out, _SMALL, True)
+    small = size <= (BROADCAST_BYTES if limit is None else limit)
+    out = F.broadcast(out) if small else out
+    setattr(out, _SMALL, small)
     return out
 
 
+def measured_once(df: DataFrame) -> DataFrame:
+    """`df` if it came from `broadcast_if_small`, else that of it."""
+    return df if hasattr(df, _SMALL) else broadcast_if_small(df)
+
+
 def hinted(df: DataFrame, like: DataFrame) -> DataFrame:
     """`df`, a projection of `like`, marked for broadcast if `like` is: a projection hides the mark from the join."""
     return F.broadcast(df) if getattr(like, _SMALL, False) else df

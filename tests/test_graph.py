@@ -288,6 +288,7 @@ def test_queries_over_a_built_graph(built):
     assert rows("MATCH (p:Paper)-[:AUTHORED_BY]->(a) WITH p, count(DISTINCT a) AS n WHERE n > 1 MATCH (p)-[:PROPOSES]->(m) RETURN m.name AS m, n") == [("Dense Passage Retriever", 2)]
     assert rows("UNWIND ['Ann', 'Zoe'] AS who RETURN who ORDER BY who") == [("Ann",), ("Zoe",)]
     assert rows("MATCH (a:Author) WHERE a.name IN ['Ann', 'OR'] RETURN a.name") == [("Ann",)]
+    assert rows("MATCH (p:Paper)-[:PROPOSES]->(m) WHERE m.name STARTS WITH 'Dense' AND p.title = 'One' AND m.aliases ENDS WITH 'dpr' RETURN p.id AS p") == [("p1",)]
     assert rows("MATCH (m:Method) WHERE m.aliases STARTS WITH 'dense' AND m.name <> 'a AND b OR c' RETURN m.name AS m") == [("Dense Passage Retriever",)]
     for bad in ("MATCH (a), (b) RETURN a.name", "MATCH (a) RETURN nope(a)", "MATCH (a:Author RETURN a", "MATCH (a) WHERE a.name = $x RETURN a", "RETURN", "MATCH (a)-[*1..9]->(b) RETURN a"):
         with pytest.raises(UnsafeQuery):

@@ -19,3 +19,16 @@ def test_nothing_imports_the_subpackage():
         for name in files:
             if name.endswith(".py"):
                 assert "scriptorium.llm" not in open(os.path.join(folder, name)).read()
+
+
+def test_exports_are_there():
+    import scriptorium
+
+    assert all(getattr(scriptorium, name) is not None for name in scriptorium.__all__)
+
+
+def test_no_misspelling_is_listed():
+    from scriptorium.functions.lexicon import METRIC_ALIASES
+
+    said = {s for group in METRIC_ALIASES.values() for s in group}
+    assert not said & {"exat match", "recal@20", "recal@100", "precison@5", "acuracy", "faithfullness", "trainig time", "thruput"}
