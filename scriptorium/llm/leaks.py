@@ -26,7 +26,7 @@ SHINGLE_WORDS = 5
 #: Words in a row that make a leak.
 SPAN_WORDS = 12
 #: Distinct held-out shingles (8 bytes each) up to which they are sent to the scan of the corpus.
-SENT_SHINGLES = 200_000
+SENT_SHINGLES = 2_000_000
 
 
 def _places(df: DataFrame, key: str, text: str, span: int, shingle: int, wanted: np.ndarray | None) -> DataFrame:
@@ -86,7 +86,7 @@ def leaked_passages(
     )
     shingles = windows.select("prefix").distinct()
     few = shingles.limit(SENT_SHINGLES + 1).count() <= SENT_SHINGLES
-    wanted = np.sort(np.array([r[0] for r in shingles.collect()], dtype=np.int64)) if few else None
+    wanted = np.sort(shingles.toArrow().column(0).to_numpy()) if few else None
     places = _places(corpus, corpus_id, corpus_text, span, shingle, wanted)
     if wanted is None:
         places = places.join(shingles, "prefix", "left_semi")
