@@ -35,6 +35,7 @@ LOOK_ALIKES = {
     "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
     "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
+_LOOKS = frozenset(LOOK_ALIKES)
 #: Hyphens with a plain form.
 HYPHENS = {"‐": "-", "‑": "-", "﹣": "-", "－": "-"}
 #: Invisible characters outside the format category.
@@ -75,6 +76,12 @@ def _single() -> dict[int, str]:
     return table
 
 
+@lru_cache(maxsize=1)
+def _singles() -> frozenset[str]:
+    """The unstable single characters; a text without them needs no search for segments."""
+    return frozenset(map(chr, _single()))
+
+
 @lru_cache(maxsize=1)
 def _joining() -> set[int]:
     """Characters that may change with what stands before them: reordered marks and second parts of compositions.
@@ -109,12 +116,15 @@ def canonical(text: str | None) -> str | None:
     if not text or text.isascii() and text.isprintable():
         return text
     unstable, composed, letters = _patterns()
-    table = _single()
-    out = unstable.sub(lambda m: "\n" if m[0] == "\r\n" else m[0].translate(table), text)
+    out, singles = text, _singles()
+    if not singles.isdisjoint(text):
+        table = _single()
+        out = unstable.sub(lambda m: "\n" if m[0] == "\r\n" else m[0].translate(table), text)
     if not out.isascii():
         if not unicodedata.is_normalized("NFC", out):
             out = composed.sub(lambda m: unicodedata.normalize("NFC", m[0]), out)
-        out = letters.sub(lambda m: "".join(LOOK_ALIKES.get(c, c) for c in m[0]), out)
+        if not _LOOKS.isdisjoint(out):
+            out = letters.sub(lambda m: "".join(LOOK_ALIKES.get(c, c) for c in m[0]), out)
     return out
 
 
