@@ -275,6 +275,18 @@ def test_build(built):
     assert {r.name: r.n for r in graph.counts(nodes, edges).collect()}["-[:REPORTS]->"] == 3
 
 
+def test_empty_tables_build_an_empty_graph(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    nodes, edges, summary = graph.build_graph(
+        empty("paper_id string, title string, authors array<string>, abstract string, categories array<string>, ingested_at int"),
+        empty("seq bigint, window_id string, paper_id string, char_start int, char_end int, relations array<struct<subject string, predicate string, object string, evidence string, confidence double>>"),
+        empty("name string, type string, aliases array<string>"), empty("paper_id string, window_id string, method string, dataset string, metric string, value double, evidence string"),
+    )
+    assert nodes.count() == edges.count() == 0 and set(summary.first().asDict().values()) == {0}
+    assert Graph(edges, nodes).query("MATCH (a)-[:USES]->(b) RETURN a.name AS a").count() == 0
+    assert graph.neighbourhood(edges, "x", 2).count() == 0 and communities.detect_communities(graph.edge_weights(edges, "src", "dst", "confidence")).count() == 0
+
+
 def test_queries_over_a_built_graph(built):
     nodes, edges, _ = built
     g = Graph(edges, nodes)
