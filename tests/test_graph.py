@@ -61,7 +61,9 @@ def test_communities_are_of_resolved_names(spark, tmp_path):
     said = [("DPR (large)", "EVALUATES_ON", "harbor qa"), ("Dense Passage Retrieval", "EVALUATES_ON", "Harbor QA"), ("dense passage retriever", "USES", "Tundra"), ("Nightjar", "BUILDS_ON", "ghost")]
     rows = [(1, "w", "p", 0, 9, "ok", None, [(a, r, b, "e", 0.5) for a, r, b in said], None)]
     spark.createDataFrame(rows, "seq bigint, window_id string, paper_id string, char_start int, char_end int, status string, error string, relations array<struct<subject string, predicate string, object string, evidence string, confidence double>>, logged_at timestamp").write.parquet(f"{tmp_path}/extractions.parquet")
-    edges = reference._resolved_edges(spark, str(tmp_path)).collect()
+    spark.createDataFrame([("p", "T", None, None, None, 1)], "paper_id string, title string, authors array<string>, abstract string, categories array<string>, ingested_at int").write.parquet(f"{tmp_path}/papers.parquet")
+    spark.createDataFrame([], "claim_id bigint, window_id string, paper_id string, method string, dataset string, metric string, value double, evidence string").write.parquet(f"{tmp_path}/result_claims.parquet")
+    edges = reference._graph(spark, str(tmp_path))[1].collect()
     assert sorted((r.src, r.rel, r.dst) for r in edges) == [("Dense Passage Retriever", "EVALUATES_ON", "Harbor QA"), ("Dense Passage Retriever", "USES", "Tundra")]
     assert {r.node for r in reference.community_members(spark, str(tmp_path)).collect()} == {"Dense Passage Retriever", "Harbor QA", "Tundra"}
 
