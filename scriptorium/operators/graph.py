@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scriptorium.functions.tokens import strip
 from scriptorium.operators.resolution import endpoint_key, merged_aliases
 from scriptorium.sources.tables import broadcast_if_small, durable, hinted, measured_once
 
@@ -165,11 +166,11 @@ def reports_edges(claims: DataFrame, aliases: DataFrame) -> DataFrame:
     and cut; a null value is 0.
     """
     table = measured_once(aliases)
-    said = claims.withColumn("metric", F.trim("metric")).filter("metric <> '' and paper_id is not null")
+    said = claims.withColumn("metric", strip(F.col("metric"))).filter("metric <> '' and paper_id is not null")
     for column in ("method", "dataset"):
         side = hinted(table.select(F.col("key").alias(f"k_{column}"), F.col("canonical").alias(f"c_{column}")), table)
         said = said.withColumn(f"k_{column}", endpoint_key(column)).join(side, f"k_{column}", "left")
-        said = said.withColumn(column, F.substring(F.coalesce(f"c_{column}", F.trim(column), F.lit("")), 1, PROPERTY_LENGTH))
+        said = said.withColumn(column, F.substring(F.coalesce(f"c_{column}", strip(F.col(column)), F.lit("")), 1, PROPERTY_LENGTH))
     return said.select(
         F.lit("REPORTS").alias("rel"), F.lit("Paper").alias("src_label"), F.col("paper_id").alias("src"), F.lit("Metric").alias("dst_label"), F.col("metric").alias("dst"),
         "window_id", F.substring(F.coalesce("evidence", F.lit("")), 1, EVIDENCE_LENGTH).alias("evidence"), F.lit(1.0).alias("confidence"),
@@ -183,10 +184,11 @@ def build_graph(papers: DataFrame, log: DataFrame, entities: DataFrame, claims:
     Nodes: papers, their authors, the named entities, the metrics of claims; one row (label, key) with the filled
     properties. Edges: AUTHORED_BY, the relations, REPORTS. Summary: entities, relations written and relations dropped:
     an unknown end, no predicate or no metric, an end that is no node, or a signature that is not allowed; repeats are neither.
+    Edges and summary are plans: a caller that reads one more than once stores it first.
     """
     aliases = broadcast_if_small(merged_aliases(entities))
-    both = durable(resolved_relations(relations(log), aliases))
-    first = durable(_first_edges(both))
+    both = resolved_relations(relations(log), aliases)
+    first = _first_edges(both)
     said = _signed(first).select(
         F.col("predicate").alias("rel"), F.col("label_s").alias("src_label"), "src", F.col("label_o").alias("dst_label"), "dst",
         "window_id", "char_start", "char_end", "evidence", F.coalesce("confidence", F.lit(0.8)).alias("confidence"),
@@ -202,7 +204,7 @@ def build_graph(papers: DataFrame, log: DataFrame, entities: DataFrame, claims:
     edges = metadata.unionByName(said, allowMissingColumns=True).unionByName(reports, allowMissingColumns=True)
     for end in ("src", "dst"):  # an edge joins nodes that are there (G2)
         edges = edges.join(nodes.select(F.col("label").alias(f"{end}_label"), F.col("key").alias(end)), [f"{end}_label", end], "left_semi")
-    edges = durable(edges.select("rel", "src_label", "src", "dst_label", "dst", *[c for c in edges.columns if c not in ("rel", "src_label", "src", "dst_label", "dst")]))
+    edges = edges.select("rel", "src_label", "src", "dst_label", "dst", *[c for c in edges.columns if c not in ("rel", "src_label", "src", "dst_label", "dst")])
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     summary = (
         one(named, "canonical_entities")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.tokens import bind, lexical_tokens, span_id, token_estimate
+from scriptorium.functions.tokens import bind, lexical_tokens, span_id, strip, token_estimate
 from scriptorium.operators import answering, backend, chunking, communities, evaluation, extraction, graph, resolution, retrieval, text
 from scriptorium.operators.components import connected_components
 from scriptorium.operators.match import Graph
@@ -260,21 +260,20 @@ def digit_sets(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "entities").filter("name is not null").select("name", resolution.numbers(F.col("name")).alias("numbers")).distinct()
 
 
-@query(r"""SELECT type, count(DISTINCT name) AS names, count(DISTINCT name) FILTER (length(trim(name)) BETWEEN 2 AND 200
-AND regexp_matches(trim(name), '^[A-Za-z0-9]') AND regexp_matches(trim(name), '\p{L}')) AS valid FROM entities GROUP BY 1""")
+@query(f"SELECT type, count(DISTINCT name) AS names, count(DISTINCT name) FILTER ({sql.valid('name')}) AS valid FROM entities GROUP BY 1")
 def valid_names(spark: SparkSession, d: str) -> DataFrame:
     """Names and usable names of each type."""
     return read_table(spark, d, "entities").groupBy("type").agg(F.count_distinct("name").alias("names"), F.count_distinct(F.when(resolution.valid_name(F.col("name")), F.col("name"))).alias("valid"))
 
 
-_NAMES = f"SELECT type, trim(name) AS name FROM entities WHERE {sql.valid('name')}"
+_NAMES = f"SELECT type, {sql.trim('name')} AS name FROM entities WHERE {sql.valid('name')}"
 
 
-@query(f"""WITH RECURSIVE {sql.strips("SELECT trim(name) AS x FROM entities")}, {sql.resolved(_NAMES, "m")} SELECT type, name, canonical FROM mres""")
+@query(f"""WITH RECURSIVE {sql.strips(f"SELECT {sql.trim('name')} AS x FROM entities")}, {sql.resolved(_NAMES, "m")} SELECT type, name, canonical FROM mres""")
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     """F1-F8: canonical name of every entity name of every type."""
     names = read_table(spark, d, "entities").filter(resolution.valid_name(F.col("name")))
-    return resolution.resolve_entities(names.select("type", F.trim("name").alias("name")))
+    return resolution.resolve_entities(names.select("type", strip(F.col("name")).alias("name")))
 
 
 @query(f"WITH RECURSIVE {sql.ALIASES} SELECT key, canonical, type FROM al")
@@ -304,10 +303,10 @@ def extraction_summary(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.count("error").alias("errors"))
 
 
-@query(f"WITH RECURSIVE {sql.strips(_NAMES.replace('SELECT type, trim(name) AS name', 'SELECT trim(name) AS x'))} SELECT x AS name, s AS plain, {sql.normal('s')} AS normal FROM sc")
+@query(f"WITH RECURSIVE {sql.strips(_NAMES.replace('SELECT type, ', 'SELECT ').replace(' AS name ', ' AS x '))} SELECT x AS name, s AS plain, {sql.normal('s')} AS normal FROM sc")
 def normal_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every usable name without its configuration, and its normal form."""
-    names = read_table(spark, d, "entities").filter(resolution.valid_name(F.col("name"))).select(F.trim("name").alias("name")).distinct()
+    names = read_table(spark, d, "entities").filter(resolution.valid_name(F.col("name"))).select(strip(F.col("name")).alias("name")).distinct()
     return names.select("name", resolution.strip_config(F.col("name")).alias("plain"), resolution.normal_form(F.col("name")).alias("normal"))
 
 
@@ -384,7 +383,7 @@ def two_hops(spark: SparkSession, d: str) -> DataFrame:
 
 def _ask(spark: SparkSession, d: str, text: str, **parameters: object) -> DataFrame:
     nodes, edges, _ = _graph(spark, d)
-    return Graph(edges, nodes).query(text, **parameters)
+    return Graph(durable(edges.drop("evidence")), nodes).query(text, **parameters)
 
 
 @query(_EDGES + """ SELECT d.dst AS dataset, count(DISTINCT d.src) AS methods FROM edges d WHERE d.rel = 'EVALUATES_ON' AND d.src_label = 'Method' AND d.dst_label = 'Dataset' GROUP BY 1 ORDER BY methods DESC, dataset LIMIT 20""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.operators import graph, resolution, text
+import re
+
+from scriptorium.operators import graph, text
 from scriptorium.operators.resolution import COSINE, LEAST_NAME, NOISE_WORDS, OVERLAP, SUFFIXES
 
 #: White space and word characters as the engine's Unicode classes have them.
@@ -16,6 +18,11 @@ def trim(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+def trims(said: str) -> str:
+    """SQL with each trim(...) taking off white space of any kind."""
+    return re.sub(r"\btrim\(((?:[^()]|\([^()]*\))*)\)", lambda m: trim(m[1]), said)
+
+
 def estimate(x: str) -> str:
     """The token estimate of a text."""
     return f"(CASE WHEN length({x}) > 0 THEN greatest(1, CAST(floor(len(list_filter(string_split_regex({x}, '{WS}+'), lambda w: w <> '')) * 1.3::DOUBLE) AS INT)) ELSE 0 END)"
@@ -23,7 +30,7 @@ def estimate(x: str) -> str:
 
 def valid(x: str) -> str:
     """A usable name."""
-    return rf"(length(trim({x})) BETWEEN 2 AND 200 AND regexp_matches(trim({x}), '^[A-Za-z0-9]') AND regexp_matches(trim({x}), '\p{{L}}'))"
+    return rf"(length({trim(x)}) BETWEEN 2 AND 200 AND regexp_matches({trim(x)}, '^[A-Za-z0-9]') AND regexp_matches({trim(x)}, '\p{{L}}'))"
 
 
 def strips(source: str) -> str:
@@ -71,14 +78,14 @@ WHERE len(list_intersect(x.words, y.words)) >= {OVERLAP}::DOUBLE * len(list_dist
 
 
 #: All strings whose configuration is stripped in the graph.
-_STRINGS = """SELECT trim(name) AS x FROM entities UNION ALL SELECT trim(unnest(aliases)) FROM entities
+_STRINGS = trims("""SELECT trim(name) AS x FROM entities UNION ALL SELECT trim(unnest(aliases)) FROM entities
 UNION ALL SELECT trim(r.subject) FROM (SELECT unnest(relations) AS r FROM extractions) UNION ALL SELECT trim(r.object) FROM (SELECT unnest(relations) AS r FROM extractions)
-UNION ALL SELECT trim(method) FROM result_claims UNION ALL SELECT trim(dataset) FROM result_claims"""
+UNION ALL SELECT trim(method) FROM result_claims UNION ALL SELECT trim(dataset) FROM result_claims""")
 _FREQUENT = "(SELECT {k} AS k, arg_max(type, (c, type)) AS type FROM (SELECT {k}, type, count(*) AS c FROM {t} GROUP BY 1, 2) GROUP BY 1)"
 
 #: al(key, canonical, type): names and aliases to their canonical name.
 ALIASES = f"""{strips(_STRINGS)},
-av AS (SELECT trim(name) AS surface, trim(name) AS name, type FROM entities UNION ALL SELECT trim(unnest(aliases)), trim(name), type FROM entities),
+{trims("av AS (SELECT trim(name) AS surface, trim(name) AS name, type FROM entities UNION ALL SELECT trim(unnest(aliases)), trim(name), type FROM entities)")},
 ak AS (SELECT lower(s.s) AS key, av.name, type, n.s = av.name AS plain FROM av JOIN sc s ON s.x = surface JOIN sc n ON n.x = av.name WHERE {valid("surface")} AND {valid("av.name")}),
 al AS (SELECT key, canonical, type FROM (SELECT key, arg_max(name, (plain, length(name), name)) AS canonical FROM ak GROUP BY 1) JOIN {_FREQUENT.format(k="key", t="ak")} ON k = key)"""
 
@@ -95,18 +102,17 @@ EDGES = f"""{MERGED},
 ok AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY seq DESC) AS n FROM extractions WHERE status = 'ok' AND window_id IS NOT NULL) WHERE n = 1),
 re AS (SELECT seq, window_id, paper_id, unnest(relations) AS r, generate_subscripts(relations, 1) - 1 AS rel_no FROM ok),
 bo AS (SELECT seq, rel_no, window_id, paper_id, r.predicate AS rel, r.confidence AS confidence, s.canonical AS sn, s.type AS sl, o.canonical AS on_, o.type AS ol FROM re
-LEFT JOIN sc ss ON ss.x = trim(r.subject) LEFT JOIN ma s ON s.key = lower(ss.s) LEFT JOIN sc os ON os.x = trim(r.object) LEFT JOIN ma o ON o.key = lower(os.s)),
+LEFT JOIN sc ss ON ss.x = {trim("r.subject")} LEFT JOIN ma s ON s.key = lower(ss.s) LEFT JOIN sc os ON os.x = {trim("r.object")} LEFT JOIN ma o ON o.key = lower(os.s)),
 na AS (SELECT *, CASE WHEN sl = 'Paper' THEN paper_id ELSE sn END AS src, CASE WHEN ol = 'Paper' THEN paper_id ELSE on_ END AS dst FROM bo),
 fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rel, src, dst ORDER BY seq, rel_no, window_id) AS n FROM na WHERE rel <> '' AND src IS NOT NULL AND dst IS NOT NULL) WHERE n = 1),
 said AS (SELECT rel, sl AS src_label, src, ol AS dst_label, dst, window_id, coalesce(confidence, 0.8)::DOUBLE AS confidence FROM fi JOIN (VALUES {_SIGNATURES}) g(a, b, c) ON rel = a AND sl = b AND ol = c)"""
 
-_SET = lambda column: f"(SELECT DISTINCT {column} AS raw, nullif(trim({column}), '') AS t FROM result_claims)"
 #: nodes(label, key, aliases) and edges of the whole graph.
 GRAPH = f"""{EDGES},
 pa AS (SELECT paper_id AS src, dst, min(n - 1) AS ordinal FROM (SELECT paper_id, unnest(authors) AS dst, generate_subscripts(authors, 1) AS n FROM papers) WHERE dst <> '' AND paper_id IS NOT NULL GROUP BY 1, 2),
 cl AS (SELECT DISTINCT * FROM result_claims),
-rp AS (SELECT paper_id AS src, trim(metric) AS dst, window_id, left(coalesce(m.canonical, trim(method), ''), {graph.PROPERTY_LENGTH}) AS method, left(coalesce(d.canonical, trim(dataset), ''), {graph.PROPERTY_LENGTH}) AS dataset, coalesce(value, 0) AS value
-FROM cl LEFT JOIN sc ms ON ms.x = trim(method) LEFT JOIN ma m ON m.key = lower(ms.s) LEFT JOIN sc ds ON ds.x = trim(dataset) LEFT JOIN ma d ON d.key = lower(ds.s) WHERE trim(metric) <> '' AND paper_id IS NOT NULL),
+rp AS (SELECT paper_id AS src, {trim("metric")} AS dst, window_id, left(coalesce(m.canonical, {trim("method")}, ''), {graph.PROPERTY_LENGTH}) AS method, left(coalesce(d.canonical, {trim("dataset")}, ''), {graph.PROPERTY_LENGTH}) AS dataset, coalesce(value, 0) AS value
+FROM cl LEFT JOIN sc ms ON ms.x = {trim("method")} LEFT JOIN ma m ON m.key = lower(ms.s) LEFT JOIN sc ds ON ds.x = {trim("dataset")} LEFT JOIN ma d ON d.key = lower(ds.s) WHERE {trim("metric")} <> '' AND paper_id IS NOT NULL),
 en AS (SELECT type AS label, canonical AS key, array_to_string(list_sort(list_distinct(list(ma.key))), ', ') AS aliases FROM ma WHERE type IN ({", ".join(f"'{t}'" for t in graph.EXTRACTABLE)}) GROUP BY 1, 2),
 nodes AS (SELECT label, key, max(aliases) AS aliases FROM (SELECT label, key, aliases FROM en UNION ALL SELECT DISTINCT 'Paper', paper_id, NULL FROM papers UNION ALL SELECT 'Author', dst, NULL FROM pa UNION ALL SELECT 'Metric', dst, NULL FROM rp) WHERE key IS NOT NULL GROUP BY 1, 2),
 ae AS (SELECT 'AUTHORED_BY' AS rel, 'Paper' AS src_label, src, 'Author' AS dst_label, dst, NULL AS window_id, 1.0::DOUBLE AS confidence FROM pa UNION ALL SELECT rel, src_label, src, dst_label, dst, window_id, confidence FROM said
