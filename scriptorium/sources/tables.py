@@ -16,6 +16,8 @@ FIXED_BYTES = 8
 _PATH = "_scriptorium_path"
 #: Whether a frame was small enough to be marked for broadcast, kept on the frame.
 _SMALL = "_scriptorium_small"
+#: Setting that removes the shuffle files of a plan when it has run.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,15 +46,25 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, *, tidy: bool = False) -> DataFrame:
     """`df` written as a table to the shared folder and read back: its lineage ends there, lost executors lose nothing.
 
     Columnar and compressed, so later stages read only the columns they need. The files go with `release`, at the latest
-    when the driver ends.
+    when the driver ends. With `tidy` the shuffle files of the plan go once it has run, not when the driver next collects
+    its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/scriptorium-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy and before is None:
+            spark.conf.unset(_TIDY)
+        elif tidy:
+            spark.conf.set(_TIDY, before)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)

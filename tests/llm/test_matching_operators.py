@@ -1,11 +1,14 @@
 import itertools
+import os
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
 
 from scriptorium.llm import canonlist, leaks, names, neardup
+from scriptorium.sources.tables import shared_folder
 
 
 # ---- problem 1
@@ -79,6 +82,50 @@ def test_no_rows_no_pairs(spark):
     assert membership.count() == 0 and links.count() == 0
 
 
+def test_bands_replace_crowded_ones():
+    anchors = np.array([[1, 2, 3, 4, 5, 6], [9, 2, 3, 4, 5, 6], [9, 2, 3, 4, 9, 6], [1, 2, 3, 9, 9, 9]])
+    mask, few = neardup.chosen_bands(anchors, np.array([7, 9]), 3)
+    assert mask.astype(int).tolist() == [[1, 1, 1, 0, 0, 0], [0, 1, 1, 1, 1, 0], [0, 1, 1, 1, 0, 1], [1, 1, 1, 0, 0, 0]]
+    assert few.tolist() == [False, False, False, False]
+    mask, few = neardup.chosen_bands(anchors, np.array([3, 9]), 3)
+    assert few.tolist() == [False, True, True, True] and mask[3].tolist() == [True, True, False, False, False, False]
+    assert neardup.chosen_bands(anchors, np.array([], dtype=np.int64), 3)[0].sum() == 12
+
+
+@pytest.mark.parametrize("hot", [None, 20])
+def test_disk_stays_below_four_times_the_input(spark, tmp_path, hot):
+    rng, vocabulary = random.Random(8), [f"word{i}" for i in range(3000)]
+    phrases = [" ".join(rng.choice(vocabulary) for _ in range(4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.1 else rng.choice(vocabulary) for _ in range(90)) for _ in range(6000)]
+    texts += [" ".join(t.split()[:-3]) for t in texts[:600]]
+    spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    frame = spark.read.parquet(str(tmp_path / "in")).repartition(4).localCheckpoint()
+    size = lambda *folders: sum(_size(os.path.join(at, f)) for x in folders for at, _, files in os.walk(x) for f in files)
+    places = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), shared_folder(spark).removeprefix("file:")]
+    base, most, done = size(*places), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            most[0] = max(most[0], size(*places) - base)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        membership, links = neardup.similar_classes(frame, "k", "text", shingle_words=3, similarity=0.6, least_words=20, hot=hot)
+        found = links.count()
+    finally:
+        done.set()
+        watcher.join()
+    assert found >= 600 and 0 < most[0] < 4 * size(str(tmp_path / "in"))
+
+
+def _size(path):
+    try:
+        return os.path.getsize(path)
+    except OSError:
+        return 0
+
+
 # ---- problem 8
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
